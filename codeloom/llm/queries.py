@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_documents
 from .common import table
+from .fingerprints import compare_with_next
+from .html_text import extract_text
+from .ngram_join import jaccard_classes
+from .quality import fit_quality, score_quality
 from .secret_scans import joined, scan_secrets
 from .token_counts import count_tokens
+from .toxicity import fit_toxicity, score_toxicity
 from .url_filters import judge_urls
 
 
@@ -19,6 +24,28 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(tokens, path, public_tokenizers.PATTERN, digest=True)
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(table(spark, sf_dir, "documents"))
+
+
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(table(spark, sf_dir, "documents"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -63,7 +90,7 @@ FROM pages p JOIN best b ON b.url IS NOT DISTINCT FROM p.url LEFT JOIN class c O
 
 
 def queries() -> dict:
-    named = (op1_byte_bpe, op8_token_counts, op9_secret_scans, op10_url_filters)
+    named = (op1_byte_bpe, op3_quality, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_html_text, op8_token_counts, op9_secret_scans, op10_url_filters)
     return {f.__name__: f for f in named}
 
 
