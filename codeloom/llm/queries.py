@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import decode_ids, encode_documents
 from .common import table
+from .decontaminate import overlaps
 from .fingerprints import compare_with_next
 from .html_text import extract_text
 from .ngram_join import jaccard_classes
@@ -24,6 +25,10 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode_ids(tokens, path, public_tokenizers.PATTERN, digest=True)
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
@@ -90,7 +95,7 @@ FROM pages p JOIN best b ON b.url IS NOT DISTINCT FROM p.url LEFT JOIN class c O
 
 
 def queries() -> dict:
-    named = (op1_byte_bpe, op3_quality, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_html_text, op8_token_counts, op9_secret_scans, op10_url_filters)
+    named = (op1_byte_bpe, op2_decontamination, op3_quality, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_html_text, op8_token_counts, op9_secret_scans, op10_url_filters)
     return {f.__name__: f for f in named}
 
 

@@ -138,7 +138,7 @@ def _scan(batches):
                 tries.append([{"start": s, "end": e, "band": b, "bin": p} for s, e, b, p in (candidates(text or "", base) if runs else [])])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
             other = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32())]))
-            yield pa.record_batch([part.column(0), pa.array(bases, kind), pa.array(tries, other)], ["id", "base", "tries"])
+            yield pa.record_batch([part.column(0), part.column(2), pa.array(bases, kind), pa.array(tries, other)], ["id", "text_hash", "base", "tries"])
 
 
 def thresholds(counts: dict[tuple[int, int], int], rate: float = 0.01) -> list[int]:
@@ -155,18 +155,19 @@ def thresholds(counts: dict[tuple[int, int], int], rate: float = 0.01) -> list[i
 
 
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: float = 0.01) -> DataFrame:
-    """One row per row of docs: the id and spans, an array of (start, kind, end), kind an index into KINDS, sorted."""
+    """One row per row of docs: the id, text_hash (xxhash64), base and spans: arrays of (start, kind, end), kind an index
+    into KINDS, sorted; base has the base kinds only."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shape = f"id {kind}, base array<struct<start:int,kind:int,end:int>>, tries array<struct<start:int,end:int,band:int,bin:int>>"
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
+    shape = f"id {kind}, text_hash long, base array<struct<start:int,kind:int,end:int>>, tries array<struct<start:int,end:int,band:int,bin:int>>"
     seen = written(slim.mapInArrow(_scan, shape), "secrets")
     counted = seen.select(F.explode("tries").alias("t")).groupBy("t.band", "t.bin").count().collect()  # at most bands x bins rows
     least = thresholds({(r["band"], r["bin"]): r["count"] for r in counted}, rate)
     taken = F.filter("tries", lambda t: t["bin"] >= F.element_at(F.array(*map(F.lit, least)), t["band"] + 1))
     added = F.transform(taken, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
-    return seen.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", added)).alias("spans"))
+    return seen.select(F.col("id").alias(id_col), "text_hash", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 
 
 def joined(spans):
