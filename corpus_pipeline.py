@@ -1,7 +1,88 @@
-"""The corpus pipeline."""
+"""A corpus pipeline in five stages, each one of the operators in codeloom.llm.
 
-STAGES = []
+A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() applies them to documents, writing each one's rows as Parquet
+in the shared folder and reading them as the next one's docs. All but the last return the columns of documents.
 
+ORACLE_SQL is None: SQL can't express the trained classifier or the tokenizer. tests/llm holds the stages
+against brute force.
+"""
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from codeloom.llm.byte_bpe import decode_ids, encode_documents
+from codeloom.llm.common import table
+from codeloom.llm.decontaminate import overlaps
+from codeloom.llm.ngram_join import jaccard_classes
+from codeloom.llm.quality import fit_quality, score_quality
+from codeloom.llm.secret_scans import KINDS, scan_secrets
+from codeloom.session import written
+
+#: Ids to leave out are broadcast up to this many, else joined by a shuffle.
+BROADCAST_IDS = 1_000_000
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids (null ids stay)."""
+    ids = written(ids.select("doc_id").distinct(), "ids")
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_anti").select(*docs.columns)
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the factorisation machine predicts to be of quality 1."""
+    machine = fit_quality(docs, table(spark, sf_dir, "labels"))
+    if machine is None:
+        return docs
+    return without(docs, score_quality(docs, machine).where("predicted = 0"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of n-gram Jaccard links (five words, 0.8): the one with the least id."""
+    classes = jaccard_classes(docs, size=5, share=80)
+    return without(docs, classes.where("doc_id != component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no benchmark item."""
+    return without(docs, overlaps(docs, table(spark, sf_dir, "benchmark")))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with each secret's span replaced by its kind in brackets; overlapping spans are one. n_chars follows."""
+    found = scan_secrets(docs).where(F.size("spans") > 0).select("doc_id", "spans", F.col("text_hash"))
+    found = written(found.dropDuplicates(["doc_id", "text_hash"]), "found")
+    hit = F.broadcast(found) if found.count() <= BROADCAST_IDS else found
+    keyed = docs.withColumn("text_hash", F.xxhash64("text"))
+    joined = keyed.join(hit, keyed["doc_id"].eqNullSafe(hit["doc_id"]) & (keyed["text_hash"] == hit["text_hash"]), "left").select(*(keyed[c] for c in docs.columns), "spans")
+    name = F.array(*map(F.lit, KINDS))
+    step = lambda acc, s: F.when(
+        s["start"] >= acc["at"],
+        F.struct(F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.element_at(name, s["kind"] + 1), F.lit("]")).alias("out"), s["end"].alias("at")),
+    ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
+    masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
+    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)
+    out = {"text": text.alias("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars")}
+    return joined.select(*(out.get(c, F.col(c)) for c in docs.columns))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each document."""
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ids = encode_documents(docs, path, public_tokenizers.PATTERN)
+    return decode_ids(ids, path, public_tokenizers.PATTERN, digest=True)
+
+
+STAGES = [("quality classifier", quality), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", decontamination), ("secret scans", secrets), ("byte-level BPE", tokens)]
+
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        docs = written(docs, f"stage{k}") if k < len(STAGES) - 1 else docs
+    return docs
