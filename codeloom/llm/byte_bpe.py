@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ..session import ship, task_count
 from .common import pieces
 
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 6_000_000
 _LOADED: dict[str, tuple] = {}
 _SPLIT: dict[str, object] = {}
 
@@ -101,7 +101,7 @@ def _unpacked(payload) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(payload)).read_all()
 
 
-def _pack(batches, most: int = 48_000_000):
+def _pack(batches, most: int = 24_000_000):
     """(block, id, text) rows to (block, payload) rows, a few for each block and input partition."""
     held, size = [], 0
 
@@ -135,12 +135,16 @@ def _block_words(payloads: pa.ChunkedArray, pattern: str, buckets: int) -> list[
     return out
 
 
+def _words(payload) -> list[str]:
+    return [w.decode() for w in zstandard.ZstdDecompressor().decompress(payload.as_buffer()).split(b"\xff")]
+
+
 def _small(ids: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(3).compress(ids.astype("<u4").tobytes())
 
 
 def _large(data) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int64)
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "<u4").astype(np.int32)
 
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -166,30 +170,28 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def encode(rows: pa.Table) -> pa.Table:
         one = _encoder(key, sent.value, pattern)[0]
-        known: dict[bytes, list[int]] = {}
+        known: dict[str, list[int]] = {}
         counts, flat = [], []
         for payload in rows.column("words"):
             mine = []
-            for w in zstandard.ZstdDecompressor().decompress(payload.as_buffer()).split(b"\xff"):
+            for w in _words(payload):
                 ids = known.get(w)
                 if ids is None:
                     ids = known[w] = _encode_word(one, w, pattern)
                 mine.append(ids)
             counts.append(_small(np.fromiter(map(len, mine), np.uint32, len(mine))))
             flat.append(_small(np.fromiter((i for ids in mine for i in ids), np.uint32)))
-        return pa.table({"bucket": rows.column("bucket").cast(pa.int32()), "block": rows.column("block").cast(pa.int32()), "counts": pa.array(counts, pa.binary()), "flat": pa.array(flat, pa.binary())})
+        return pa.table({"block": rows.column("block").cast(pa.int32()), "words": rows.column("words"), "counts": pa.array(counts, pa.binary()), "flat": pa.array(flat, pa.binary())})
 
     asked = packed.groupBy("block").applyInArrow(ask, "bucket int, block int, words binary")
-    answers = asked.groupBy("bucket").applyInArrow(encode, "bucket int, block int, counts binary, flat binary")
+    answers = asked.groupBy("bucket").applyInArrow(encode, "block int, words binary, counts binary, flat binary")
 
     def join(texts: pa.Table, back: pa.Table):
-        words = _block_words(texts.column("payload"), pattern, buckets)
         index: dict[str, int] = {}
-        counts, flat = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for bucket, c, f in zip(back.column("bucket").to_pylist(), back.column("counts"), back.column("flat")):
-            for w in words[bucket]:
+        counts, flat = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for words, c, f in zip(back.column("words"), back.column("counts"), back.column("flat")):
+            for w in _words(words):
                 index[w] = len(index)
-            words[bucket] = []
             counts.append(_large(c.as_buffer()))
             flat.append(_large(f.as_buffer()))
         count, ids = np.concatenate(counts), np.concatenate(flat)
@@ -201,7 +203,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
             for text in rows.column("text"):
                 ps = pretokens(text.as_py() or "", pattern)
                 at = np.fromiter(map(index.__getitem__, ps), np.int64, len(ps))
-                out.append(ids[spans(begin[at], count[at])].astype(np.int32))
+                out.append(ids[spans(begin[at], count[at])])
                 ends.append(ends[-1] + len(out[-1]))
         values = np.concatenate(out) if out else np.zeros(0, np.int32)
         key_column = pa.chunked_array([c for k in keys for c in k.chunks]) if keys else pa.chunked_array([pa.array([], pa.int64())])
@@ -211,11 +213,9 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     return joined.withColumnRenamed("id", id_col)
 
 
-def _encode_word(one, word: bytes, pattern: str) -> list[int]:
-    text = word.decode()
-    known = _splitters(pattern)[2]
-    if not text.isascii() and known.search(text):
-        return one.encode_ordinary(text)
+def _encode_word(one, word: str, pattern: str) -> list[int]:
+    if not word.isascii() and _splitters(pattern)[2].search(word):
+        return one.encode_ordinary(word)
     return one._encode_single_piece(word)
 
 
