@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
+from ..session import ship, written
 from .common import MARKS, crc_part, hashed_words, mixed, pieces, strings
 from .labelled import sample
 
@@ -156,27 +156,12 @@ class Network:
         return 1 / (1 + np.exp(-np.clip(shifted, -30, 30)))
 
 
-def train(rows: pd.DataFrame, epochs: int = 10, rate: float = 0.02, seed: int = 5) -> Network | None:
-    """rows: id, label, words (flattened fields), sorted. A fifth of them sets the thresholds."""
-    y = rows["label"].to_numpy(int)
-    if not len(y) or y.min() == y.max():
+def train(net: Network, rows: pd.DataFrame, epochs: int = 10, rate: float = 0.02, seed: int = 5) -> Network | None:
+    """rows: label, aside (sets the thresholds), lang, and w1, w2, w3: each text's windows, flattened."""
+    y, aside, lang = rows["label"].to_numpy(int), rows["aside"].to_numpy(bool), rows["lang"].to_numpy(int)
+    if not (~aside).any() or y[~aside].min() == y[~aside].max():
         return None
-    fields = [np.asarray(f, np.int64).astype(np.uint64).reshape(-1, FIELDS) for f in rows["fields"]]
-    aside = np.arange(len(y)) % 5 == 4
-    seen, owner = np.concatenate([np.unique(f) for f in fields]), np.repeat(np.arange(len(y)), [len(np.unique(f)) for f in fields])
-    use = ~aside[owner]
-    keys, place = np.unique(seen[use], return_inverse=True)
-    pos, all_ = np.bincount(place, y[owner[use]], len(keys)), np.bincount(place, minlength=len(keys))
-    n1, n0 = max(1, y[~aside].sum()), max(1, (1 - y[~aside]).sum())
-    odds = np.log((pos + 0.3) / n1) - np.log((all_ - pos + 0.3) / n0)
-    gain = np.abs(odds) * np.sqrt(all_) * ((all_ >= LEAST_TEXTS) & (np.abs(odds) > 1.2))
-    top = np.sort(np.argsort(-gain, kind="stable")[: min(MOST_ROWS, int((gain > 0).sum()))])
-    net = Network(keys[top])
-    net.p["E"][net.slot[(keys[top] % np.uint64(SLOTS)).astype(np.int64)], 0] = np.clip(odds[top], -3, 3) / 3  # where training starts
-    data = []
-    for f in fields:
-        row = net.rows(f)
-        data.append({w: net.windows(row, w) for w in WIDTHS})
+    data = [{w: np.asarray(x, np.int32).reshape(-1, w, FIELDS) for w, x in zip(WIDTHS, windows)} for windows in zip(*(rows[f"w{w}"] for w in WIDTHS))]
     rng = np.random.default_rng(seed)
     for w in WIDTHS:
         net.p[f"W{w}"][:, 0, :] = np.abs(net.p[f"W{w}"][:, 0, :]) + 0.3
@@ -211,7 +196,6 @@ def train(rows: pd.DataFrame, epochs: int = 10, rate: float = 0.02, seed: int =
                 b += 0.001 * (grad[k] ** 2 - b)
                 v -= rate * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.999**step)) + 1e-8)
     margin = np.array([net.margin(d) for d in data])
-    lang = np.array([languages(f[:, 0], np.array([0, len(f)]))[0] for f in fields])
     net.cut[:] = _threshold(margin[aside], y[aside], 0.0)
     for k in range(len(LANGUAGES)):
         some = aside & (lang == k)
@@ -232,18 +216,49 @@ def _threshold(margin: np.ndarray, y: np.ndarray, default: float) -> float:
     return float(edges[best[len(best) // 2]])
 
 
-def _extract(batches):
+def _hashes(batches):
+    """Each text's distinct hashes, with its label."""
     for batch in batches:
         for part in pieces(batch, "text"):
-            fields, at = word_fields(*lowered(part.column(2)))
-            yield pa.record_batch([part.column(0).cast(pa.string()), part.column(1), pa.ListArray.from_arrays(pa.array(at * FIELDS, pa.int32()), pa.array(fields.ravel().astype(np.int64)))], ["id", "label", "fields"])
+            fields, at = word_fields(*lowered(part.column(1)))
+            own = [np.unique(fields[lo:hi]) for lo, hi in zip(at[:-1], at[1:])]
+            label = np.repeat(part.column(0).to_numpy(zero_copy_only=False), list(map(len, own)))
+            yield pa.record_batch([pa.array(np.concatenate([*own, np.zeros(0, np.uint64)]).view(np.int64)), pa.array(label, pa.int64())], ["h", "label"])
+
+
+def _windows(sent):
+    def run(batches):
+        net = sent.value
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                fields, at = word_fields(*lowered(part.column(3)))
+                row, lang = net.rows(fields), languages(fields[:, 0], at)
+                cut = [[net.windows(row[lo:hi], w).astype(np.int16).ravel() for lo, hi in zip(at[:-1], at[1:])] for w in WIDTHS]
+                yield pa.record_batch([*part.columns[:3], pa.array(lang.astype(np.int32)), *(pa.array(c, pa.list_(pa.int16())) for c in cut)], ["place", "label", "aside", "lang", *(f"w{w}" for w in WIDTHS)])
+
+    return run
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, target: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = 2400) -> Network | None:
-    ship(docs.sparkSession)
-    rows = sample(docs, labels, target, id_col, text_col, most).select("id", F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(_extract, "id string, label int, fields array<long>").toPandas()
-    return train(found.sort_values(["id", "label"], kind="stable").reset_index(drop=True)) if len(found) else None
+    """The driver gets the most informative hashes, MOST_ROWS at most, and the sample's windows that hold them."""
+    spark = docs.sparkSession
+    ship(spark)
+    place = F.xxhash64("id")
+    rows = written(sample(docs, labels, target, id_col, text_col, most).select(place.alias("place"), F.col("label").cast("int").alias("label"), (F.pmod(place, F.lit(5)) == 4).alias("aside"), "text"), "sample")
+    use = rows.where("not aside")
+    sizes = {r["label"]: r["count"] for r in use.groupBy("label").count().collect()}
+    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    if not n0 or not n1:
+        return None
+    seen = use.select(F.col("label"), "text").mapInArrow(_hashes, "h long, label long").groupBy("h").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    odds = F.log((F.col("pos") + 0.3) / n1) - F.log((F.col("n") - F.col("pos") + 0.3) / n0)
+    top = seen.withColumn("odds", odds).where(F.abs("odds") > 1.2).orderBy(F.desc(F.abs("odds") * F.sqrt("n")), "h").limit(MOST_ROWS).select("h", "odds").collect()
+    keys = np.array([r["h"] for r in top], np.int64).view(np.uint64)
+    net = Network(keys)
+    net.p["E"][1:, 0] = np.clip([r["odds"] for r in top], -3, 3) / 3  # where training starts
+    shape = "place long, label int, aside boolean, lang int, " + ", ".join(f"w{w} array<smallint>" for w in WIDTHS)
+    found = rows.mapInArrow(_windows(spark.sparkContext.broadcast(net)), shape).toPandas()
+    return train(net, found.sort_values(["place", "label"], kind="stable").reset_index(drop=True))
 
 
 def score_toxicity(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
