@@ -8,12 +8,12 @@ from __future__ import annotations
 import ast
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SCHEMA = "path string, row string, id string, kind string, name string, qualified string, line int, end_line int, complexity int, cognitive int, is_test boolean, recursive boolean, src string, dst string, rel string, detail string"
-COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
+ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in SCHEMA.split(", ")])
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.comprehension)
 NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)
 #: Definitions in other languages: pattern and kind.
@@ -159,20 +159,16 @@ def parsed(path: str, text: str) -> list[dict]:
 def parse(files: DataFrame) -> DataFrame:
     """files(path, text) to rows of nodes and edges (SCHEMA)."""
 
-    def run(frames):
-        for pdf in frames:
-            rows = [{"path": p, **r} for p, t in zip(pdf["path"], pdf["text"]) for r in parsed(p, t or "")]
-            out = pd.DataFrame(rows, columns=COLUMNS)
-            for c in ("line", "end_line", "complexity", "cognitive"):
-                out[c] = out[c].astype("Int32")
-            for c in ("is_test", "recursive"):
-                out[c] = out[c].astype("boolean")
-            yield out
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                path, text = batch.column(0)[k].as_py() or "", batch.column(1)[k].as_py() or ""
+                yield pa.RecordBatch.from_pylist([{"path": path, **r} for r in parsed(path, text)], ARROW)
 
     from ..session import ship
 
     ship(files.sparkSession)
-    return files.select("path", "text").mapInPandas(run, SCHEMA)
+    return files.select("path", "text").mapInArrow(run, SCHEMA)
 
 
 def nodes(rows: DataFrame) -> DataFrame:
