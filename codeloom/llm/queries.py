@@ -39,7 +39,7 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_classes(table(spark, sf_dir, "documents"))
+    return jaccard_classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,10 +94,22 @@ FROM pages p JOIN best b ON b.url IS NOT DISTINCT FROM p.url LEFT JOIN class c O
 """
 
 
+OP5_SQL = r"""
+WITH RECURSIVE words AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS ws FROM documents),
+sets AS MATERIALIZED (SELECT doc_id, CASE WHEN len(ws) >= 4 THEN list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS s FROM words),
+rows AS MATERIALIZED (SELECT doc_id, len(s) AS n, hash(x) AS h FROM (SELECT doc_id, s, unnest(s) AS x FROM sets)),
+links AS MATERIALIZED (SELECT a.doc_id AS u, b.doc_id AS v FROM rows a JOIN rows b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+near AS MATERIALIZED (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reach(node, root) AS (SELECT u, u FROM near UNION SELECT n.v, r.root FROM reach r JOIN near n ON n.u = r.node),
+least AS (SELECT node, min(root) AS root FROM reach GROUP BY node)
+SELECT s.doc_id, len(s) AS n_shingles, coalesce(root, s.doc_id) AS component_id FROM sets s LEFT JOIN least ON node = s.doc_id
+"""
+
+
 def queries() -> dict:
     named = (op1_byte_bpe, op2_decontamination, op3_quality, op4_fingerprints, op5_ngram_join, op6_toxicity, op7_html_text, op8_token_counts, op9_secret_scans, op10_url_filters)
     return {f.__name__: f for f in named}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filters": OP10_SQL}
+    return {"op5_ngram_join": OP5_SQL, "op10_url_filters": OP10_SQL}
