@@ -24,16 +24,18 @@ def neighbours(edges: DataFrame, seeds: DataFrame, forward: bool = True) -> Data
     return edges.join(seeds.select(F.col("id").alias(a)), a, "left_semi").select(F.col(a).alias("seed"), F.col(b).alias("id")).distinct()
 
 
-def trace(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool = True, keep: int = 4) -> DataFrame:
-    """(id, hop) with the least hop at which each node is reached, 1 to depth. A frontier holds new nodes only."""
+def trace(edges: DataFrame, seeds: DataFrame, depth: int, forward: bool = True) -> DataFrame:
+    """(id, hop) with the least hop at which each node is reached, 1 to depth. A frontier holds new nodes only and is written, so
+    each hop joins the edges once; edges that are themselves the result of a long plan are best written before."""
     a, b = ("src", "dst") if forward else ("dst", "src")
     step = edges.select(F.col(a).alias("id"), F.col(b).alias("next"))
     seen = seeds.select("id").distinct().withColumn("hop", F.lit(0).cast(L))
     frontier = seen
     for hop in range(1, depth + 1):
         new = step.join(frontier.select("id"), "id").select(F.col("next").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("hop", F.lit(hop).cast(L))
-        if hop % keep == 0:  # shorten the plan
-            new = written(new, "frontier")
+        new = written(new, "frontier")
+        if new.isEmpty():
+            break
         seen, frontier = seen.unionByName(new), new
     return seen.where("hop > 0")
 

@@ -7,11 +7,17 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..adapters import with_
 from ..operators import graph as G
+from ..session import written
 from . import query
 
 SEEDS = "id < 20"
 
 
+def stored_calls(spark, d):
+    """The call graph, written once for operators that read it at every step."""
+    return written(A.calls(spark, d), "calls")
+
+
 def seeds(spark, d):
     return A.symbols(spark, d).where(SEEDS).select("id")
 
@@ -38,13 +44,13 @@ TRACE = "w(id, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 20 UNION
 
 @query(with_("calls", ", " + TRACE.format(a="src", b="dst", k=6) + " SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY id HAVING min(hop) > 0", True))
 def trace_hops(spark, d):
-    return G.trace(A.calls(spark, d), seeds(spark, d), 6)
+    return G.trace(stored_calls(spark, d), seeds(spark, d), 6)
 
 
 @query(with_("calls symbols", ", w(id, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey BETWEEN 1500 AND 1520 UNION SELECT e.src, hop + 1 FROM w JOIN calls e ON e.dst = w.id WHERE hop < 4), m AS (SELECT id, min(hop) AS hop FROM w GROUP BY id HAVING min(hop) > 0) SELECT regexp_extract(name, '^[^.]*') AS name, CAST(min(hop) AS BIGINT) AS distance FROM m JOIN symbols USING (id) GROUP BY 1", True))
 def impact_transitive(spark, d):
     names = A.symbols(spark, d).select("id", F.substring_index("name", ".", 1).alias("name"))
-    return G.impact(A.calls(spark, d), A.symbols(spark, d).where("id BETWEEN 1500 AND 1520"), 4, names)
+    return G.impact(stored_calls(spark, d), A.symbols(spark, d).where("id BETWEEN 1500 AND 1520"), 4, names)
 
 
 @query(with_("calls symbols", ", c AS (SELECT dst AS id, count(DISTINCT src) AS callers FROM calls GROUP BY 1) SELECT s.id, s.name, coalesce(callers, 0) AS callers FROM symbols s LEFT JOIN c USING (id) WHERE kind IN ('function', 'method')"))
@@ -82,7 +88,7 @@ def containment_depth(spark, d):
 
 @query(with_("calls", ", w(id, depth) AS (SELECT dst, 1 FROM calls UNION ALL SELECT t.dst, depth + 1 FROM w JOIN calls t ON t.src = w.id WHERE depth < 4) SELECT id, count(*) AS paths FROM w GROUP BY id", True))
 def inheritance_paths(spark, d):
-    return G.walks(A.calls(spark, d), 4)
+    return G.walks(stored_calls(spark, d), 4)
 
 
 @query(with_("trade", "SELECT DISTINCT src AS id FROM trade WHERE src = dst"))
@@ -198,12 +204,12 @@ def community_sweep(spark, d):
 
 @query(with_("calls", ", w(id, l) AS (SELECT DISTINCT dst, 0 FROM calls UNION SELECT e.src, l + 1 FROM w JOIN calls e ON e.dst = w.id) SELECT id, CAST(max(l) AS BIGINT) AS level FROM w GROUP BY id", True))
 def hcgs_levels(spark, d):
-    return G.levels(A.calls(spark, d))
+    return G.levels(stored_calls(spark, d))
 
 
 @query()
 def hcgs_summaries(spark, d):
-    edges = A.calls(spark, d)
+    edges = stored_calls(spark, d)
     return G.summaries(A.symbols(spark, d), edges, G.levels(edges), 8)
 
 
