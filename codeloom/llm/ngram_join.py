@@ -8,10 +8,10 @@ so under each of ORDERS different orders. All orders put frequent shingles last,
 1. One pass finds sizes and set hashes, and counts frequent shingles (a bounded list; it only guides the orders).
 2. Prefixes under the first order are dealt by shingle. A shingle with up to FEW classes gives its pairs; one with more gives
    only links to its two hubs, so no group is expanded into all pairs.
-3. Candidates' sets come from a second reading of one document a class; pairs must pass the other orders' filters, then
-   the exact comparison. Verified links make components.
+3. Bitmaps of the candidates' sets drop pairs that can't link; the others' texts come from another reading of one document a
+   class, and pairs must pass the other orders' filters, then the exact comparison of sets. Verified links make components.
 4. Shingles of more than FEW classes may hide pairs that hubs didn't show. Those matter only between different
-   components; these pairs, and no others, are made and verified, so components are exact.
+   components: such classes are compared by bitmaps in bounded cells, and what may link is verified, so components are exact.
 
 Cases: a null or empty text, or one of blanks only, has the empty set, links with nothing and is its own component; with fewer
 words than a shingle, the whole sequence is one shingle; equal rows have equal results; rows of one id with different texts
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from ..session import ship, task_count, written
 from .common import BLANKS, hashed_words, mixed, pieces, strings
 from .components import components
 
-ORDERS, FEW, FREQUENT, BROADCAST_ROWS = 3, 24, 20_000, 1_000_000
+ORDERS, FEW, FREQUENT, BLOCK, BROADCAST_ROWS = 3, 8, 20_000, 16_384, 1_000_000
 _SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -111,15 +112,16 @@ def _prefixes(size: int, share: int, sent):
         seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                tokens, owners = [], []
+                tokens, owners, sizes = [], [], []
                 for s in shingle_sets(*strings(part.column(0)), size):
                     h = set_hash(s)
                     if h and h not in seen:
                         seen.add(h)
                         tokens.append(prefix(s, 0, frequent, rank, share))
                         owners.append(np.full(len(tokens[-1]), h, np.int64))
+                        sizes.append(np.full(len(tokens[-1]), len(s), np.int32))
                 if tokens:
-                    yield pa.record_batch([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners))], ["token", "h"])
+                    yield pa.record_batch([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["token", "h", "n"])
 
     return run
 
@@ -151,62 +153,38 @@ def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]):
 
 def _shared(batches):
     """Rows of tokens that two classes or more have, with the token's number of classes."""
-    found = _groups(batches, ("token", "h"))
+    found = _groups(batches, ("token", "h", "n"))
     if found:
-        (token, h), edge = found
+        (token, h, n), edge = found
         size = np.repeat(np.diff(edge), np.diff(edge))
         keep = size > 1
-        yield pa.record_batch([pa.array(token[keep]), pa.array(h[keep]), pa.array(size[keep].astype(np.int64))], ["token", "h", "size"])
-
-
-def _first_pairs(batches):
-    found = _groups(batches, ("token", "h"))
-    if not found:
-        return
-    (_, h), edge = found
-    a, b, n = [], [], 0
-    luck = mixed(h.astype(np.uint64) ^ _SALTS[7])
-    for lo, hi in zip(edge[:-1], edge[1:]):
-        m = hi - lo
-        if m < 2:
-            continue
-        if m <= FEW:
-            i, j = np.triu_indices(m, 1)
-            a.append(h[lo + i])
-            b.append(h[lo + j])
-        else:
-            hubs = lo + np.argsort(luck[lo:hi], kind="stable")[:2]
-            a.append(np.repeat(h[hubs], m))
-            b.append(np.tile(h[lo:hi], 2))
-        n += len(a[-1])
-        if n > 500_000:
-            yield from _pairs_of(a, b)
-            a, b, n = [], [], 0
-    yield from _pairs_of(a, b)
+        yield pa.record_batch([pa.array(token[keep]), pa.array(h[keep]), pa.array(n[keep].astype(np.int32)), pa.array(size[keep].astype(np.int64))], ["token", "h", "n", "size"])
 
 
-def _rest_pairs(share: int):
-    """Pairs of different components that share a token and whose sizes may link."""
+def _first_pairs(share: int):
+    """Pairs that share a token and whose sizes may link: all of a small group, those with two hubs of a larger one."""
 
     def run(batches):
-        found = _groups(batches, ("token", "h", "root", "n"))
+        found = _groups(batches, ("token", "h", "n"))
         if not found:
             return
-        (_, h, root, n), edge = found
+        (_, h, n), edge = found
         a, b, made = [], [], 0
+        luck = mixed(h.astype(np.uint64) ^ _SALTS[7])
         for lo, hi in zip(edge[:-1], edge[1:]):
-            if (root[lo:hi] == root[lo]).all():
+            m = hi - lo
+            if m < 2:
                 continue
-            order = lo + np.argsort(n[lo:hi], kind="stable")
-            sizes = n[order]
-            for k, i in enumerate(order[:-1]):
-                to = np.searchsorted(sizes, n[i] * 100 // share, side="right")
-                others = order[k + 1 : to]
-                others = others[root[others] != root[i]]
-                if len(others):
-                    a.append(np.full(len(others), h[i]))
-                    b.append(h[others])
-                    made += len(others)
+            if m <= FEW:
+                i, j = np.triu_indices(m, 1)
+                i, j = lo + i, lo + j
+            else:
+                hubs = lo + np.argsort(luck[lo:hi], kind="stable")[:2]
+                i, j = np.repeat(hubs, m), np.tile(np.arange(lo, hi), 2)
+            fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= share * np.maximum(n[i], n[j]).astype(np.int64)
+            a.append(h[i[fits]])
+            b.append(h[j[fits]])
+            made += len(a[-1])
             if made > 500_000:
                 yield from _pairs_of(a, b)
                 a, b, made = [], [], 0
@@ -215,36 +193,198 @@ def _rest_pairs(share: int):
     return run
 
 
-def _sets(size: int, share: int, sent):
+def _around(batches):
+    """(u, v): each class of a token's group with the group's least class."""
+    found = _groups(batches, ("token", "h"))
+    if found:
+        (_, h), edge = found
+        least = np.repeat(h[edge[:-1]], np.diff(edge))
+        both = np.unique(np.stack([h, least], 1), axis=0)
+        yield pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["u", "v"])
+
+
+def _compared(rows: pa.Table, share: int) -> np.ndarray:
+    """Of one cell: pairs of different components that bitmaps allow, whose lesser size band is the cell's."""
+    h, n, root, band, blk = (rows.column(c).to_numpy() for c in ("h", "n", "root", "band", "blk"))
+    g, i, j = (rows.column(c)[0].as_py() for c in ("g", "i", "j"))
+    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("bits")]
+    width = min(map(len, maps))
+    for k, m in enumerate(maps):
+        while len(m) > width:
+            m = m[: len(m) // 2] | m[len(m) // 2 :]
+        maps[k] = m
+    x = np.stack(maps)
+    full = np.bitwise_count(x).sum(1, dtype=np.int64)
+    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
+    step = max(1, 2_000_000 // max(1, len(right) * width))
+    out = [np.zeros((0, 2), np.int64)]
+    for at in range(0, len(left), step):
+        p = left[at : at + step, None]
+        only = np.bitwise_count(x[p[:, 0], None, :] & ~x[None, right, :]).sum(2, dtype=np.int64)
+        most = np.minimum(n[p] - only, n[right] - (full[right] - full[p] + only))
+        fits = (most * (100 + share) >= share * (n[p] + n[right])) & (root[p] != root[right]) & ((band[p] == g) | (band[right] == g))
+        if i == j:
+            fits &= p < right
+        a, b = np.nonzero(fits)
+        out.append(np.sort(np.stack([h[left[at + a]], h[right[b]]], 1), axis=1))
+    return np.concatenate(out)
+
+
+def _between(share: int):
+    """Cells come one after another, each whole in its partition and sorted; one is held at a time."""
+
+    def run(batches):
+        held, key = [], None
+        for batch in batches:
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("c", "g", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                if key is not None and (keys[lo] != key).any():
+                    both = _compared(pa.Table.from_batches(held), share)
+                    yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+                    held = []
+                key = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            both = _compared(pa.Table.from_batches(held), share)
+            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+    return run
+
+
+def _hidden(large: DataFrame, roots: DataFrame, bits: DataFrame, share: int) -> DataFrame:
+    """Pairs (a, b) of different components among classes that large groups connect. Classes are compared by bitmaps inside cells: a
+    neighbourhood (what shared tokens connect), a band of set sizes with the one above it, and two blocks of at most
+    BLOCK classes, so no cell grows with its group. Only pairs that may link leave a cell."""
+    tasks = max(1, task_count(large.sparkSession))
+    near = components(large.select("token", "h").repartition(tasks, "token").mapInArrow(_around, "u long, v long").distinct())
+    near = near.select(F.col("node").alias("h"), F.col("root").alias("c")).join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
+    open_ = near.groupBy("c").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("c")
+    near = near.join(open_, "c", "left_semi")
+    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / share))).cast("int")
+    rows = near.join(bits.withColumn("band", band), "h")
+    rows = rows.withColumn("g", F.explode(F.array(F.col("band"), F.col("band") - 1)))
+    rows = written(rows.select("h", "n", "root", "band", "bits", "c", "g"), "cells")
+    blocks = rows.groupBy("c", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("c", "g", "blocks")
+    rows = rows.join(blocks, ["c", "g"]).withColumn("blk", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "blocks")
+    return cells.repartition(tasks, "c", "g", "i", "j").sortWithinPartitions("c", "g", "i", "j").mapInArrow(_between(share), "a long, b long").distinct()
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Of a set: a bit for each hash modulo a power of two no less than its size."""
+    m = max(256, 1 << (len(s) - 1).bit_length())
+    out = np.zeros(m, bool)
+    out[(s & np.uint64(m - 1)).astype(np.int64)] = True
+    return np.packbits(out).tobytes()
+
+
+def may_link(x: bytes, n: int, y: bytes, m: int, share: int) -> bool:
+    """Whether bitmaps of sets of sizes n and m leave room for a link: each bit that only x has is an element that y lacks."""
+    if 100 * min(n, m) < share * max(n, m):
+        return False
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):  # the halves of a larger one laid over each other are the smaller one
+        a = a[: len(a) // 2] | a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] | b[len(b) // 2 :]
+    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
+    return most * (100 + share) >= share * (n + m)
+
+
+def _bitmaps(size: int):
     def run(batches):
-        frequent, rank = sent.value
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(*strings(part.column(0)), size)
-                short = [[(prefix(s, k, frequent, rank, share) >> np.uint64(32)).astype(np.uint32).view(np.int32) for s in sets] for k in range(1, ORDERS)]
-                yield pa.record_batch(
-                    [pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *(pa.array(p, pa.list_(pa.int32())) for p in short)],
-                    ["h", "shingles", *(f"p{k}" for k in range(1, ORDERS))],
-                )
+                yield pa.record_batch([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary())], ["h", "n", "bits"])
+
+    return run
+
+
+def _room(share: int):
+    def run(batches):
+        for batch in batches:
+            n, m = batch.column(3).to_pylist(), batch.column(5).to_pylist()
+            keep = pa.array([may_link(x.as_buffer(), n[k], y.as_buffer(), m[k], share) for k, (x, y) in enumerate(zip(batch.column(2), batch.column(4)))], pa.bool_())
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, share: int, sent) -> DataFrame:
-    """Links (u, v) among candidate pairs (a, b)."""
-    wanted = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    readers = written(nodes.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id"), F.count("id").alias("named")), "readers")
-    ids = readers.select("id").distinct()
+def _texts(size: int):
+    """(h, z): the class and the compressed text. Text is smaller than its set of hashes, so this is what travels."""
+
+    def run(batches):
+        for batch in batches:
+            for part in pieces(batch, "text"):
+                hashes = [set_hash(s) for s in shingle_sets(*strings(part.column(0)), size)]
+                z = zstandard.ZstdCompressor(3)
+                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array([z.compress((t or "").encode()) for t in part.column(0).to_pylist()], pa.binary())], ["h", "z"])
+
+    return run
+
+
+def linked(a: np.ndarray, b: np.ndarray, share: int, frequent: np.ndarray, rank: np.ndarray) -> bool:
+    """Whether two sets link: by size, by the filters of the orders after the first, then exactly."""
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < share * large:
+        return False
+    for k in range(1, ORDERS):
+        if not np.intersect1d(prefix(a, k, frequent, rank, share), prefix(b, k, frequent, rank, share), assume_unique=True).size:
+            return False
+    shared = np.intersect1d(a, b, assume_unique=True).size
+    return 100 * shared >= share * (small + large - shared)
+
+
+def _links(size: int, share: int, sent):
+    def run(batches):
+        frequent, rank = sent.value
+        last, own = None, None
+        unpack = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 128):
+                rows = batch.slice(at, 128)
+                a, b = rows.column(0).to_pylist(), rows.column(1).to_pylist()
+                new = [k for k in range(len(a)) if a[k] != (a[k - 1] if k else last)]
+                texts = [unpack.decompress(rows.column(2)[k].as_buffer()) for k in new] + [unpack.decompress(z.as_buffer()) for z in rows.column(3)]
+                sets = shingle_sets(*strings(pa.array(texts, pa.binary()).cast(pa.string())), size)
+                mine, found = dict(zip(new, sets)), []
+                for k in range(len(a)):
+                    own = mine.get(k, own)
+                    found.append(linked(own, sets[len(new) + k], share, frequent, rank))
+                last = a[-1]
+                keep = pa.array(found)
+                yield pa.record_batch([rows.column(0).filter(keep), rows.column(1).filter(keep)], ["u", "v"])
+
+    return run
+
+
+def _of_classes(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, function, shape: str) -> DataFrame:
+    """One row of function's for each class wanted(h), from a reading of one document a class."""
+    readers = written(nodes.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")), "readers")
     small = readers.count() <= BROADCAST_ROWS
+    ids, classes = readers.select("id").distinct(), readers.select("h")
     few = docs.join(F.broadcast(ids) if small else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
-    shape = "h long, shingles array<long>, " + ", ".join(f"p{k} array<int>" for k in range(1, ORDERS))
-    sets = few.select("text").mapInArrow(_sets(size, share, sent), shape).join(F.broadcast(readers.select("h")) if small else readers.select("h"), "h", "left_semi").dropDuplicates(["h"])
-    left, right = (sets.select(F.col("h").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in sets.columns[1:])) for n in "ab")
-    both = pairs.join(right, "b").join(left, "a")
-    for k in range(1, ORDERS):
-        both = both.where(F.arrays_overlap(f"a_p{k}", f"b_p{k}"))
-    shared = F.size(F.array_intersect("a_shingles", "b_shingles"))
-    return both.where(100 * shared >= share * (F.size("a_shingles") + F.size("b_shingles") - shared)).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return few.select("text").mapInArrow(function, shape).join(F.broadcast(classes) if small else classes, "h", "left_semi").dropDuplicates(["h"])
+
+
+def _both(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
+
+
+def _beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """pairs (a, b) with the columns of rows for either class."""
+    left, right = (rows.select(F.col("h").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in rows.columns[1:])) for n in "ab")
+    return pairs.join(right, "b").join(left, "a")
+
+
+def _verified(left: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, share: int, sent) -> DataFrame:
+    """Links (u, v) among pairs (a, b) that bitmaps leave, by the texts."""
+    both = _beside(left, _of_classes(_both(left), docs, nodes, _texts(size), "h long, z binary"))
+    return both.select("a", "b", "a_z", "b_z").mapInArrow(_links(size, share, sent), "u long, v long")
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, share: int = 85) -> DataFrame:
@@ -261,18 +401,17 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = np.argsort(values)
     sent = spark.sparkContext.broadcast((values[order], (len(top) - np.arange(len(top)))[order].astype(np.int64)))
 
-    dealt = slim.select("text").mapInArrow(_prefixes(size, share, sent), "token long, h long").repartition(max(1, task_count(spark)), "token")
-    shared = written(dealt.mapInArrow(_shared, "token long, h long, size long"), "shared")
-    by_token = shared.select("token", "h").repartition(max(1, task_count(spark)), "token")
-    pairs = written(by_token.mapInArrow(_first_pairs, "a long, b long").distinct(), "pairs")
-    links = written(_verified(pairs, slim, nodes, size, share, sent), "links")
+    dealt = slim.select("text").mapInArrow(_prefixes(size, share, sent), "token long, h long, n int").repartition(max(1, task_count(spark)), "token")
+    shared = written(dealt.mapInArrow(_shared, "token long, h long, n int, size long"), "shared")
+    by_token = shared.select("token", "h", "n").repartition(max(1, task_count(spark)), "token")
+    pairs = written(by_token.mapInArrow(_first_pairs(share), "a long, b long").distinct(), "pairs")
+    bits = written(_of_classes(_both(pairs).union(shared.where(F.col("size") > FEW).select("h")), slim, nodes, _bitmaps(size), "h long, n int, bits binary"), "bits")
+    close = _beside(pairs, bits).select("a", "b", "a_bits", "a_n", "b_bits", "b_n").mapInArrow(_room(share), "a long, b long")
+    links = written(_verified(written(close, "close"), slim, nodes, size, share, sent), "links")
     roots = components(links)
     large = shared.where(F.col("size") > FEW)
     if not large.isEmpty():
-        sizes = nodes.where("h != 0").groupBy("h").agg(F.first("n").alias("n"))
-        placed = large.select("token", "h").join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h")).join(sizes, "h")
-        rest = placed.select("token", "h", "root", "n").repartition(max(1, task_count(spark)), "token").mapInArrow(_rest_pairs(share), "a long, b long").distinct()
-        rest = written(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+        rest = written(_hidden(large, roots, bits, share).join(pairs, ["a", "b"], "left_anti"), "rest")
         if not rest.isEmpty():
             links = written(links.union(_verified(rest, slim, nodes, size, share, sent)), "links")
             roots = components(links)
