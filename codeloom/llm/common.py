@@ -109,3 +109,16 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = BLANKS
 
 def mixed_int(x: int) -> int:
     return int(mixed(np.array([x & (2**64 - 1)], np.uint64))[0])
+
+
+#: Rows of a lookup table by key that are broadcast at most; with more, the join is salted into so many parts.
+LOOKUP_ROWS, SALTS = 20_000, 16
+
+
+def looked_up(rows: DataFrame, lookup: DataFrame, key: str, spread: str, most: int = LOOKUP_ROWS) -> DataFrame:
+    """rows left joined with lookup, one row a key, where a key may hold a third of all rows: a counted small lookup is broadcast,
+    so rows stay where they are; a larger one is repeated for each salt, and a hot key's rows are dealt over the salts by `spread`."""
+    if lookup.count() <= most:
+        return rows.join(F.broadcast(lookup), key, "left")
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(SALTS)))
+    return salted.join(lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), [key, "_salt"], "left").drop("_salt")

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import ship
-from .common import pieces
+from ..session import ship, written
+from .common import looked_up, pieces
 from .url_filters import host_of
 
 #: A comment, declaration, or tag with quoted attribute values; last a tag with an unpaired quote.
@@ -245,5 +245,6 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 texts = [main_text(page or "", frozenset(known or ())) for page, known in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["id", "url", "text", "n_chars"])
 
-    out = slim.join(templates, "host", "left").select("id", "url", "html", "templates").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    known = written(templates.select("host", "templates"), "templates")
+    out = looked_up(slim, known, "host", "url").select("id", "url", "html", "templates").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
     return out.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

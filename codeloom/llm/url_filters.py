@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
+from .common import looked_up
 from .components import components
 
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -58,9 +60,9 @@ def judge_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_
     split = pages.select("id", "url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
 
     def ruled(rows: DataFrame) -> DataFrame:
-        table = host_rules(rows.select("host").distinct(), rules)
+        table = written(host_rules(rows.select("host").distinct(), rules), "rules")
         fits = F.array_max(F.filter("rules", lambda r: F.startswith(F.col("path"), r["path"])))
-        return rows.join(table, "host", "left").withColumn("best", fits).drop("rules")
+        return looked_up(rows, table, "host", "url").withColumn("best", fits).drop("rules")
 
     nodes = classes.select(F.col("node").alias("url"), "root", host_of(F.col("node")).alias("host"), path_of(F.col("node")).alias("path"))
     ranked = ruled(nodes).groupBy("root").agg(F.max("best.allow").alias("allowed"), F.count("best").alias("n"))

@@ -47,3 +47,12 @@ def test_op7_equals_the_articles(spark, sf001):
         blocks = [" ".join(unescape(re.sub(r"<[^<>]*>", " ", x)).split()) for x in re.split(r"</?(?:p|h1)>", body)]
         want[r["page_id"]] = "\n\n".join(b for b in blocks if b)
     assert {r["page_id"]: r["text"] for r in op7_html_text(spark, sf001).collect()} == want
+
+
+def test_lookups_by_broadcast_and_by_salts_agree(spark):
+    from codeloom.llm.common import looked_up
+
+    rows = spark.createDataFrame([(i, "hot" if i % 3 else f"h{i}", f"u{i}") for i in range(90)] + [(99, None, None)], "id long, host string, url string")
+    lookup = spark.createDataFrame([("hot", 1), ("h3", 2), ("h9", 3)], "host string, x long")
+    a, b = (looked_up(rows, lookup, "host", "url", most).select("id", "host", "x") for most in (10, 0))
+    assert sorted(map(tuple, a.collect()), key=repr) == sorted(map(tuple, b.collect()), key=repr) and a.count() == 91
