@@ -63,9 +63,9 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.struct(F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("["), F.element_at(name, s["kind"] + 1), F.lit("]")).alias("out"), s["end"].alias("at")),
     ).otherwise(F.struct(acc["out"].alias("out"), F.greatest(acc["at"], s["end"]).alias("at")))
     masked = F.aggregate("spans", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda acc: F.concat(acc["out"], F.substr(F.col("text"), acc["at"] + 1, F.length("text"))))
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(masked)
-    out = {"text": text.alias("text"), "n_chars": F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long")).alias("n_chars")}
-    return joined.select(*(out.get(c, F.col(c)) for c in docs.columns))
+    changed = joined.withColumn("masked", F.when(F.col("spans").isNotNull(), masked))
+    out = {"text": F.coalesce("masked", "text").alias("text"), "n_chars": F.coalesce(F.length("masked").cast("long"), "n_chars").alias("n_chars")}
+    return changed.select(*(out.get(c, F.col(c)) for c in docs.columns))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
