@@ -117,10 +117,13 @@ def innermost(points: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame
     return hit.groupBy("file", "line").agg(F.min_by("id", F.struct(F.col("end") - F.col("start"), F.col("id"))).alias("owner"))
 
 
-def overlapping(hunks: DataFrame, spans: DataFrame) -> DataFrame:
-    """(id, hunks): spans(file, id, start, end) that a hunk(file, start, end) of their file touches."""
-    h = hunks.select("file", F.col("start").alias("hs"), F.col("end").alias("he"))
-    return spans.join(h, "file").where("hs <= end AND he >= start").groupBy("id").agg(n().alias("hunks"))
+def overlapping(hunks: DataFrame, spans: DataFrame, width: int = 64) -> DataFrame:
+    """(id, hunks): spans(file, id, start, end) that a hunk(file, start, end) of their file touches. Both are cut in bins of lines; a
+    pair counts in the first bin they share."""
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    h = hunks.withColumn("bin", bins).select("file", "bin", F.col("start").alias("hs"), F.col("end").alias("he"))
+    near = spans.withColumn("bin", bins).join(h, ["file", "bin"]).where("hs <= end AND he >= start")
+    return near.where(F.col("bin") == F.floor(F.greatest("start", "hs") / width)).groupBy("id").agg(n().alias("hunks"))
 
 
 def change_impact(edges: DataFrame, changed: DataFrame, per_symbol: int = 10) -> DataFrame:

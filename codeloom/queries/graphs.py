@@ -32,6 +32,18 @@ def callees(spark, d):
     return G.neighbours(A.calls(spark, d), A.symbols(spark, d).where("id < 200"))
 
 
+@query(with_("calls", "SELECT DISTINCT dst AS seed, src AS id FROM calls"))
+def callers_whole(spark, d):
+    """callers, with every symbol as a seed."""
+    return G.neighbours(A.calls(spark, d), A.symbols(spark, d), forward=False)
+
+
+@query(with_("calls", "SELECT DISTINCT src AS seed, dst AS id FROM calls"))
+def callees_whole(spark, d):
+    """callees, with every symbol as a seed."""
+    return G.neighbours(A.calls(spark, d), A.symbols(spark, d))
+
+
 @query(with_("trade", ", e AS (SELECT 'TRADES' AS rel, src, dst, weight FROM trade WHERE src = 3 UNION ALL SELECT 'IN_REGION', n_nationkey, n_regionkey, 1 FROM nation WHERE n_nationkey = 3) SELECT * FROM e"))
 def explain_edges(spark, d):
     """All edges out of one node, with their relation."""
@@ -47,6 +59,12 @@ def trace_hops(spark, d):
     return G.trace(stored_calls(spark, d), seeds(spark, d), 6)
 
 
+@query(with_("calls", ", " + TRACE.replace("p_partkey < 20", "p_partkey % 20 = 0").format(a="src", b="dst", k=6) + " SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY id HAVING min(hop) > 0", True))
+def trace_hops_whole(spark, d):
+    """trace_hops from a twentieth of all symbols, so seeds grow with the table."""
+    return G.trace(stored_calls(spark, d), A.symbols(spark, d).where("id % 20 = 0").select("id"), 6)
+
+
 @query(with_("calls symbols", ", w(id, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey BETWEEN 1500 AND 1520 UNION SELECT e.src, hop + 1 FROM w JOIN calls e ON e.dst = w.id WHERE hop < 4), m AS (SELECT id, min(hop) AS hop FROM w GROUP BY id HAVING min(hop) > 0) SELECT regexp_extract(name, '^[^.]*') AS name, CAST(min(hop) AS BIGINT) AS distance FROM m JOIN symbols USING (id) GROUP BY 1", True))
 def impact_transitive(spark, d):
     names = A.symbols(spark, d).select("id", F.substring_index("name", ".", 1).alias("name"))
@@ -139,6 +157,35 @@ def hunk_overlap(spark, d):
     return G.overlapping(hunks, spans(spark, d))
 
 
+def ranges(spark, d):
+    """(file, id, start, end) of all of lineitem."""
+    return A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
+
+
+RANGES = "spans AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS id, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem), points AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS line FROM lineitem)"
+
+
+@query(f"WITH {RANGES} SELECT p.file, line, min_by(id, struct_pack(s := s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
+def interval_call_resolution_whole(spark, d):
+    """interval_call_resolution over all of lineitem."""
+    spans = ranges(spark, d)
+    return G.containing(spans.select("file", F.col("start").alias("line")).distinct(), spans)
+
+
+@query(f"WITH {RANGES} SELECT p.file, line, min_by(id, struct_pack(w := e - s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
+def innermost_container_whole(spark, d):
+    """innermost_container over all of lineitem."""
+    spans = ranges(spark, d)
+    return G.innermost(spans.select("file", F.col("start").alias("line")).distinct(), spans)
+
+
+@query(f"WITH {RANGES} , h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS hs, l_partkey + l_linenumber AS he FROM lineitem) SELECT id, count(*) AS hunks FROM spans x JOIN h ON h.file = x.file AND hs <= e AND he >= s GROUP BY id")
+def hunk_overlap_whole(spark, d):
+    """hunk_overlap over all of lineitem."""
+    hunks = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_linenumber")).alias("end")).distinct()
+    return G.overlapping(hunks, ranges(spark, d))
+
+
 @query(with_("calls", ", one AS (SELECT dst AS id, src AS caller, 1 AS hop FROM calls WHERE dst % 10 = 0), two AS (SELECT o.id, c.src AS caller, 2 AS hop FROM one o JOIN calls c ON c.dst = o.caller), near AS (SELECT id, caller, CAST(min(hop) AS BIGINT) AS hop FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY 1, 2) SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY id ORDER BY hop, caller) <= 10"))
 def change_impact(spark, d):
     return G.change_impact(A.calls(spark, d), A.symbols(spark, d).where("id % 10 = 0"))

@@ -152,7 +152,7 @@ def community_lookup(spark, d):
 @query()
 def context_assembly(spark, d):
     c = A.changes(spark, d).select(F.element_at(F.split("file", "/"), -1).cast("long").alias("id"), "ts", "commit_id", F.concat(F.lit("fix #"), F.col("commit_id").cast("string"), F.lit(" PROJ-7")).alias("subject"))
-    return S.context(A.symbols(spark, d), A.calls(spark, d), A.symbols(spark, d).where("id < 50").select("id"), c)
+    return S.context(A.symbols(spark, d), A.calls(spark, d), A.symbols(spark, d).select("id"), c)
 
 
 @query("WITH m AS (SELECT o_orderkey AS id, 'Fix #' || (o_orderkey % 9) || ' see GH-' || o_custkey || ' and AB-' || (o_orderkey % 4) AS m FROM orders) SELECT id, array_to_string(regexp_extract_all(m, 'GH-[0-9]+|#[0-9]+|[A-Z]+-[0-9]+'), ',') AS issues FROM m")

@@ -103,10 +103,25 @@ def gitlog_numstat(spark, d):
     return gitlog.numstat(gitlog.as_log(n)).select(F.col("commit").cast("long").alias("commit_id"), "file", "added", "deleted")
 
 
+@query(with_("numstat", "SELECT commit_id, file, added, deleted FROM numstat"))
+def gitlog_numstat_whole(spark, d):
+    """gitlog_numstat over all commits; the log is dealt to more sources."""
+    return gitlog.numstat(gitlog.as_log(A.numstat(spark, d), 1024)).select(F.col("commit").cast("long").alias("commit_id"), "file", "added", "deleted")
+
+
 @query("SELECT l_suppkey AS file, l_orderkey AS start, l_orderkey + greatest(l_linenumber, 1) - 1 AS \"end\", count(*) AS hunks FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL")
 def diff_hunks(spark, d):
     """Hunk headers of a diff without context become ranges of each file."""
-    lines = A.table(spark, d, "lineitem").where("l_orderkey < 500")
+    return _hunks(A.table(spark, d, "lineitem").where("l_orderkey < 500"))
+
+
+@query("SELECT l_suppkey AS file, l_orderkey AS start, l_orderkey + greatest(l_linenumber, 1) - 1 AS \"end\", count(*) AS hunks FROM lineitem GROUP BY ALL")
+def diff_hunks_whole(spark, d):
+    """diff_hunks over all of lineitem."""
+    return _hunks(A.table(spark, d, "lineitem"))
+
+
+def _hunks(lines):
     text = lines.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.concat(F.lit("@@ -1,0 +"), F.col("l_orderkey").cast("string"), F.when(F.col("l_linenumber") == 1, "").otherwise(F.concat(F.lit(","), F.col("l_linenumber").cast("string"))), F.lit(" @@ def f")))).alias("h"))
     keyed = text.select(F.col("l_suppkey").alias("source"), F.posexplode(F.concat(F.array(F.lit("diff --git a/x b/x"), F.concat(F.lit("+++ b/"), F.col("l_suppkey").cast("string"))), "h"))).select("source", "pos", F.col("col").alias("line"))
     return diff.hunks(keyed).groupBy(F.col("file").cast("long").alias("file"), "start", "end").agg(F.count(F.lit(1)).alias("hunks"))
