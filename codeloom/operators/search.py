@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import task_count
+from ..session import task_count, written
 
 #: Field boosts of the full text engine. K1, B and the fusion constant are the published defaults.
 BOOSTS = {"name": 5.0, "kind": 4.0, "summary": 3.0, "filepath": 2.0, "body": 1.0}
@@ -114,21 +114,43 @@ def similar_blocks(vectors: DataFrame, least: float, per_block: int = 2000) -> D
     return cells.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, cosine double")
 
 
-def token_sets(docs: DataFrame, shortest: int = 3, most_chars: int = 4096) -> DataFrame:
-    """(id, tokens): distinct words of at least `shortest` characters in the first `most_chars`, as the reference's sketches take them."""
-    return docs.select("id", F.array_distinct(F.filter(words(F.substring("body", 1, most_chars)), lambda w: F.length(w) >= shortest)).alias("tokens"))
+def token_sets(docs: DataFrame, shortest: int = 3, most_chars: int | None = 4096) -> DataFrame:
+    """(id, tokens): distinct words of at least `shortest` characters; with most_chars of the first characters only (the reference's
+    sketches take 4096)."""
+    text = F.col("body") if most_chars is None else F.substring("body", 1, most_chars)
+    return docs.select("id", F.array_distinct(F.filter(words(text), lambda w: F.length(w) >= shortest)).alias("tokens"))
+
+
+def token_classes(sets: DataFrame, salts: int = 16) -> tuple[DataFrame, DataFrame]:
+    """For sets(id, tokens): (id, class_id) of every row, the class being the least id with the same tokens, and (id, tokens) of classes.
+    A set without tokens is alone in its class and not among the latter. Rows of a large class are dealt over salts."""
+    keyed = written(sets.select("id", "tokens", F.sha2(F.array_join(F.sort_array("tokens"), " "), 256).alias("key")), "sets")
+    full = keyed.where(F.size("tokens") > 0)
+    least = full.groupBy("key").agg(F.min("id").alias("class_id"))
+    dealt = full.select("id", "key", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("salt"))
+    members = dealt.join(least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["key", "salt"]).select("id", "class_id")
+    chosen = full.join(least.select("key", F.col("class_id").alias("id")), ["key", "id"], "left_semi").dropDuplicates(["id"]).select("id", "tokens")
+    return members.unionByName(keyed.where(F.size("tokens") == 0).select("id", F.col("id").alias("class_id"))), chosen
 
 
 def minhash_pairs(docs: DataFrame, least: float = 0.7, permutations: int = 128, rows: int = 4, sets: DataFrame | None = None) -> DataFrame:
     """(a, b, jaccard), a < b, of candidates that share a band of their MinHash signatures, verified exactly. Equal sets are one
-    class first, so a group of copies doesn't make its pairs; classes carry their least id."""
-    sets = (token_sets(docs) if sets is None else sets).where(F.size("tokens") > 0).groupBy(F.sort_array("tokens").alias("tokens")).agg(F.min("id").alias("id"))
+    class first, so a group of copies doesn't make its pairs; classes carry their least id. minhash_classes has their members too."""
+    return _class_pairs(token_classes(token_sets(docs) if sets is None else sets)[1], least, permutations, rows)
+
+
+def minhash_classes(docs: DataFrame, least: float = 0.7, permutations: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+    """The pairs of minhash_pairs, and (id, class_id) of every document: two documents are near where their classes are equal or a pair."""
+    members, chosen = token_classes(token_sets(docs))
+    return _class_pairs(chosen, least, permutations, rows), members
+
+
+def _class_pairs(sets: DataFrame, least: float, permutations: int, rows: int) -> DataFrame:
     hashed = F.transform("tokens", lambda w: F.xxhash64(w))
     # permutation p of a hash h: the top bits of h * odd(p) + p
     signature = F.array(*(F.array_min(F.transform(hashed, _permuted(p))) for p in range(permutations)))
     bands = F.transform(F.sequence(F.lit(0), F.lit(permutations // rows - 1)), lambda i: F.xxhash64(i, F.slice(F.col("sig"), i * rows + 1, F.lit(rows))))
-    keyed = sets.withColumn("sig", signature).select("id", "tokens", F.explode(bands).alias("band"))
-    small = keyed.select("id", "band")
+    small = sets.withColumn("sig", signature).select("id", F.explode(bands).alias("band"))
     pairs = small.alias("x").join(small.alias("y"), F.expr("x.band = y.band AND x.id < y.id")).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
     return verified(pairs, sets, least)
 

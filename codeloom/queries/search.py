@@ -91,7 +91,9 @@ def jaccard_pairs(spark, d):
 
 @query()
 def minhash_pairs(spark, d):
-    return S.minhash_pairs(A.bodies(spark, d))
+    """Rows 'member': each document a with its class b; rows 'pair': near classes a and b. A class is the least id with its words."""
+    pairs, members = S.minhash_classes(A.bodies(spark, d))
+    return pairs.select(F.lit("pair").alias("kind"), "a", "b", "jaccard").unionByName(members.select(F.lit("member").alias("kind"), F.col("id").alias("a"), F.col("class_id").alias("b"), F.lit(1.0).alias("jaccard")))
 
 
 def _features(spark, d):

@@ -1,8 +1,11 @@
 """Queries cover their whole tables."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from codeloom import adapters as A
+from codeloom.operators import search as S
 from codeloom.queries import catalogue
 
 QUERIES, SQL = catalogue()
@@ -18,3 +21,24 @@ def test_queries_cover_the_whole_tables(spark, sf001):
     points = lines.select("l_suppkey", "l_partkey").distinct().count()
     assert run("interval_call_resolution_whole").count() == run("innermost_container_whole").count() == points
     assert run("hunk_overlap_whole").count() == lines.select("l_orderkey").distinct().count()
+
+
+def test_minhash_membership_gives_every_copy(spark):
+    r = random.Random(5)
+    texts = [" ".join(f"w{r.randrange(9000)}" for _ in range(40)) for _ in range(3)]
+    near = texts[0].split()
+    texts.append(" ".join([*near[:-1], "other"]))
+    docs = [(4 * i + k, t) for k, t in enumerate(texts) for i in range(25)] + [(900, ""), (901, "a b")]
+    df = spark.createDataFrame(docs, "id long, body string")
+    pairs, members = S.minhash_classes(df)
+    of = {x["id"]: x["class_id"] for x in members.collect()}
+    assert members.count() == len(docs) and of == {i: i % 4 if i < 900 else i for i, _ in docs}
+    linked = {(x["a"], x["b"]) for x in pairs.collect()}
+    assert linked == {(0, 3)}
+    found = {(a, b) for a in of for b in of if a < b < 900 and (of[a] == of[b] or tuple(sorted((of[a], of[b]))) in linked)}
+    assert found == {(x["a"], x["b"]) for x in S.jaccard_pairs(df).collect()}
+
+
+def test_minhash_query_has_a_row_per_document(spark, sf001):
+    rows = QUERIES["minhash_pairs"](spark, sf001).where("kind = 'member'")
+    assert rows.count() == A.bodies(spark, sf001).count()
