@@ -114,7 +114,7 @@ def similar_blocks(vectors: DataFrame, least: float, per_block: int = 2000) -> D
     return cells.groupBy("i", "j").applyInPandas(product, f"a {kind}, b {kind}, cosine double")
 
 
-def token_sets(docs: DataFrame, shortest: int = 3, most_chars: int | None = 4096) -> DataFrame:
+def token_sets(docs: DataFrame, shortest: int = 3, most_chars: int | None = None) -> DataFrame:
     """(id, tokens): distinct words of at least `shortest` characters; with most_chars of the first characters only (the reference's
     sketches take 4096)."""
     text = F.col("body") if most_chars is None else F.substring("body", 1, most_chars)
@@ -139,9 +139,9 @@ def minhash_pairs(docs: DataFrame, least: float = 0.7, permutations: int = 128,
     return _class_pairs(token_classes(token_sets(docs) if sets is None else sets)[1], least, permutations, rows)
 
 
-def minhash_classes(docs: DataFrame, least: float = 0.7, permutations: int = 128, rows: int = 4) -> tuple[DataFrame, DataFrame]:
+def minhash_classes(docs: DataFrame, least: float = 0.7, permutations: int = 128, rows: int = 4, most_chars: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The pairs of minhash_pairs, and (id, class_id) of every document: two documents are near where their classes are equal or a pair."""
-    members, chosen = token_classes(token_sets(docs))
+    members, chosen = token_classes(token_sets(docs, most_chars=most_chars))
     return _class_pairs(chosen, least, permutations, rows), members
 
 
@@ -166,9 +166,9 @@ def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.withColumn("jaccard", j).where(F.col("jaccard") >= least).select("a", "b", "jaccard")
 
 
-def jaccard_pairs(docs: DataFrame, least: float = 0.7) -> DataFrame:
+def jaccard_pairs(docs: DataFrame, least: float = 0.7, most_chars: int | None = None) -> DataFrame:
     """The same pairs exactly, by prefixes of rare words: sets with that Jaccard share one of their n - ceil(least n) + 1 rarest."""
-    sets = token_sets(docs).where(F.size("tokens") > 0)
+    sets = token_sets(docs, most_chars=most_chars).where(F.size("tokens") > 0)
     rows = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("w"))
     df = rows.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     ordered = rows.join(df, "w").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
@@ -226,10 +226,10 @@ def sigmoid(x: Column) -> Column:
     return 1 / (1 + F.exp(-x))
 
 
-def embedded(texts: DataFrame, cache: DataFrame, encode: Callable[[list[str]], np.ndarray], most_chars: int = 2048) -> DataFrame:
-    """(text_hash, embedding) of new texts only: the first characters, by SHA-256; encode gets a batch, and its rows are scaled
-    to length 1."""
-    cut = texts.select(F.substring("text", 1, most_chars).alias("text")).distinct().withColumn("text_hash", F.sha2("text", 256))
+def embedded(texts: DataFrame, cache: DataFrame, encode: Callable[[list[str]], np.ndarray], most_chars: int | None = None) -> DataFrame:
+    """(text_hash, embedding) of new texts only, by SHA-256; encode gets a batch, and its rows are scaled to length 1. With
+    most_chars, texts are cut to their first characters (2048 in the reference)."""
+    cut = texts.select("text" if most_chars is None else F.substring("text", 1, most_chars).alias("text")).distinct().withColumn("text_hash", F.sha2("text", 256))
     new = cut.join(cache.select("text_hash"), "text_hash", "left_anti")
 
     @F.pandas_udf("array<float>")

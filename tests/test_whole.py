@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from codeloom import adapters as A
@@ -42,3 +43,14 @@ def test_minhash_membership_gives_every_copy(spark):
 def test_minhash_query_has_a_row_per_document(spark, sf001):
     rows = QUERIES["minhash_pairs"](spark, sf001).where("kind = 'member'")
     assert rows.count() == A.bodies(spark, sf001).count()
+
+
+def test_whole_texts_are_compared(spark):
+    same = "word " * 2000
+    df = spark.createDataFrame([(1, same + "alpha beta gamma"), (2, same + "delta epsilon zeta"), (3, same + "alpha beta gamma")], "id long, body string")
+    assert [(x["a"], x["b"]) for x in S.jaccard_pairs(df).collect()] == [(1, 3)]
+    assert len(S.jaccard_pairs(df, most_chars=4096).collect()) == 3
+    assert {x["id"]: x["class_id"] for x in S.minhash_classes(df)[1].collect()} == {1: 1, 2: 2, 3: 1}
+    texts = df.select(F.col("body").alias("text"))
+    cache = texts.limit(0).select(F.sha2("text", 256).alias("text_hash"))
+    assert S.embedded(texts, cache, lambda batch: np.ones((len(batch), 2))).count() == 2
