@@ -203,15 +203,16 @@ def adjusted_rand(a: DataFrame, b: DataFrame) -> DataFrame:
     return s.join(F.broadcast(x)).join(F.broadcast(y)).select("nodes", F.round(F.when(mean == expected, 1.0).otherwise((F.col("ij") - expected) / (mean - expected)), 6).alias("ari"))  # one row each
 
 
-def levels(edges: DataFrame, most: int = 64) -> DataFrame:
+def levels(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, level) by layers from the leaves: a node's level is one more than its callees' greatest. Self loops don't count; in a
-    cycle the nodes with fewest remaining callees, then the least id, go first."""
+    cycle the nodes with fewest remaining callees, then the least id, go first. Every node gets a level; more than `most` rounds are an error."""
     left = written(edges.where("src != dst").select("src", "dst").distinct(), "left")
     todo = written(left.select(F.col("src").alias("id")).union(left.select("dst")).distinct(), "todo")
     done = None
-    for level in range(most):
-        if todo.isEmpty():
-            break
+    level = 0
+    while not todo.isEmpty():
+        if most is not None and level >= most:
+            raise ValueError(f"nodes are left after {most} rounds")
         ready = todo.join(left.select(F.col("src").alias("id")), "id", "left_anti")
         if ready.isEmpty():
             ready = left.groupBy(F.col("src").alias("id")).agg(n().alias("c")).orderBy("c", "id").limit(1).select("id")
@@ -220,15 +221,20 @@ def levels(edges: DataFrame, most: int = 64) -> DataFrame:
         gone = ready.select("id")
         todo = written(todo.join(gone, "id", "left_anti"), "todo")
         left = written(left.join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").join(gone.withColumnRenamed("id", "src"), "src", "left_anti"), "left")
+        level += 1
     return done if done is not None else todo.withColumn("level", F.lit(0).cast(L))
 
 
-def summaries(symbols: DataFrame, edges: DataFrame, levelled: DataFrame, depth: int, most: int = 5) -> DataFrame:
-    """(id, summary) bottom up: kind, name, complexity, and up to five callees with the first sentence of theirs."""
+def summaries(symbols: DataFrame, edges: DataFrame, levelled: DataFrame, depth: int | None = None, most: int = 5) -> DataFrame:
+    """(id, summary) bottom up to the greatest level: kind, name, complexity, and up to five callees with the first sentence of
+    theirs. A level over depth is an error."""
     own = symbols.select("id", "name", F.concat(F.initcap("kind"), F.lit(" "), "name", F.lit(". Complexity score: "), F.col("complexity").cast("string"), F.lit(".")).alias("own"))
-    placed = own.join(levelled, "id", "left").withColumn("level", F.coalesce("level", F.lit(0).cast(L)))
+    placed = written(own.join(levelled, "id", "left").withColumn("level", F.coalesce("level", F.lit(0).cast(L))), "placed")
+    deepest = placed.agg(F.max("level")).first()[0] or 0
+    if depth is not None and deepest > depth:
+        raise ValueError(f"levels up to {deepest}; at most {depth}")
     out = placed.where("level = 0").select("id", "name", F.col("own").alias("summary"))
-    for level in range(1, depth + 1):
+    for level in range(1, deepest + 1):
         mine = placed.where(F.col("level") == level)
         calls = edges.where("src != dst").select(F.col("src").alias("id"), F.col("dst").alias("callee")).distinct().join(mine.select("id"), "id", "left_semi").join(out.select(F.col("id").alias("callee"), F.col("name").alias("cname"), F.substring_index("summary", ". ", 1).alias("first")), "callee")
         listed = calls.groupBy("id").agg(F.array_join(F.transform(F.slice(F.sort_array(F.collect_list(F.struct("callee", "cname", "first"))), 1, most), lambda c: F.concat(c["cname"], F.lit(" ("), c["first"], F.lit(")"))), ", ").alias("calls"))

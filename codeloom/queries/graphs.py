@@ -257,7 +257,7 @@ def hcgs_levels(spark, d):
 @query()
 def hcgs_summaries(spark, d):
     edges = stored_calls(spark, d)
-    return G.summaries(A.symbols(spark, d), edges, G.levels(edges), 8)
+    return G.summaries(A.symbols(spark, d), edges, G.levels(edges))
 
 
 @query(with_("tree", ", w(id) AS (SELECT 'r1' UNION SELECT t.dst FROM w JOIN tree t ON t.src = w.id) SELECT id FROM w", True))

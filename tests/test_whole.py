@@ -3,9 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from codeloom import adapters as A
+from codeloom.operators import graph as G
 from codeloom.operators import search as S
 from codeloom.queries import catalogue
 
@@ -54,3 +56,20 @@ def test_whole_texts_are_compared(spark):
     texts = df.select(F.col("body").alias("text"))
     cache = texts.limit(0).select(F.sha2("text", 256).alias("text_hash"))
     assert S.embedded(texts, cache, lambda batch: np.ones((len(batch), 2))).count() == 2
+
+
+def test_deep_graphs_have_all_levels_and_summaries(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    symbols = spark.range(13).select("id", F.concat(F.lit("f"), "id").alias("name"), F.lit("function").alias("kind"), F.lit(1).alias("complexity"))
+    levelled = G.levels(chain)
+    assert {r["id"]: r["level"] for r in levelled.collect()} == {i: 12 - i for i in range(13)}
+    text = {r["id"]: r["summary"] for r in G.summaries(symbols, chain, levelled).collect()}
+    assert len(text) == 13 and "Calls: f1 (" in text[0]
+    with pytest.raises(ValueError):
+        G.levels(chain, most=5)
+    with pytest.raises(ValueError):
+        G.summaries(symbols, chain, levelled, 8)
+
+
+def test_hcgs_summaries_has_every_symbol(spark, sf001):
+    assert QUERIES["hcgs_summaries"](spark, sf001).count() == A.symbols(spark, sf001).count()
