@@ -2,9 +2,9 @@
 
 A page becomes a tree of elements. Elements that never hold main text (menus, page headers, footers, forms, scripts, ...)
 are known by tag, role, or class and id words. Besides, every block element's subtree outside the article's text gets
-a hash of its tags, class, id and text; Spark counts the pages of each host on which a hash occurs, and subtrees that
-recur on many pages of their host are deleted. Text blocks of an article are never deleted: an article may share
-passages with others.
+a hash of its tags, class, id and text; Spark counts the distinct pages of each host on which a hash occurs, and subtrees that
+recur on many pages of their host are deleted. Copies of a page count once. Text blocks of an article, what holds them and what
+they hold are never deleted: an article may share passages with others. Nor are html and body.
 
 The main text is that of the page's articles, else of its main element, else of its body.
 
@@ -149,21 +149,25 @@ def roots(tree: Node) -> list[Node]:
 
 
 def removable(tree: Node) -> list[Node]:
-    """Block elements that templates may take: none that holds or is a root, and no text block in an article."""
+    """Block elements that templates may take: not html or body, none that holds or is a root, and in an article none that is, holds or
+    is inside a text block."""
     tops = roots(tree)
     plain = tops == [tree]
-    out, stack = [], [(tree, False)]
+    out, stack = [], [(tree, False, False)]
     kept = set(map(id, tops))
-    holds = set(kept)
+    holds, texts = set(kept), set()
     for node in postorder(tree):
         if any(isinstance(c, Node) and id(c) in holds for c in node.children):
             holds.add(id(node))
+        if node.tag in TEXT or any(isinstance(c, Node) and id(c) in texts for c in node.children):
+            texts.add(id(node))
     while stack:
-        node, inside = stack.pop()
+        node, inside, within = stack.pop()
         inside = inside or (id(node) in kept and not plain)
-        if id(node) not in holds and node.tag in BLOCK and not (inside and (node.tag in TEXT or any(isinstance(c, Node) and c.tag in TEXT for c in node.children))):
+        within = within or (inside and node.tag in TEXT)
+        if id(node) not in holds and node.tag in BLOCK and node.tag not in ("html", "body") and not within and not (inside and id(node) in texts):
             out.append(node)
-        stack.extend((c, inside) for c in node.children if isinstance(c, Node))
+        stack.extend((c, inside, within) for c in node.children if isinstance(c, Node))
     return out
 
 
@@ -214,22 +218,24 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
 def _hashes(batches):
     for batch in batches:
         for part in pieces(batch, "html"):
-            hosts, found = [], []
-            for host, page in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+            hosts, keys, found = [], [], []
+            for host, page, key in zip(*(part.column(i).to_pylist() for i in range(3))):
                 mine = sorted(subtree_hashes(page or ""))
                 hosts += [host] * len(mine)
+                keys += [key] * len(mine)
                 found += mine
-            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+            yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(keys, pa.int64()), pa.array(found, pa.int64())], ["host", "key", "hash"])
 
 
-def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.3) -> DataFrame:
-    """(host, templates): hashes of subtrees on `share` of a host's pages, and `least_pages` at least. A host's
-    array is no longer than the mean number of subtrees of its pages, over share."""
+def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", least_pages: int = 10, share: float = 0.3, enough_pages: int = 200) -> DataFrame:
+    """(host, templates): hashes of subtrees on `share` of a host's distinct pages and `least_pages` at least, or on `enough_pages`.
+    A host's array is no longer than the mean number of subtrees of its pages, over share, or all its pages' subtrees over
+    enough_pages."""
     ship(pages.sparkSession)
-    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
-    found = slim.mapInArrow(_hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
-    sizes = slim.groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
-    return found.join(sizes, "host").where(F.col("n") >= share * F.col("pages")).groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    slim = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"), F.xxhash64(html_col).alias("key"))
+    found = slim.mapInArrow(_hashes, "host string, key long, hash long").distinct().groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    sizes = slim.select("host", "key").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("pages"))
+    return found.join(sizes, "host").where((F.col("n") >= share * F.col("pages")) | (F.col("n") >= enough_pages)).groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", templates: DataFrame | None = None) -> DataFrame:
