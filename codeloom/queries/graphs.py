@@ -81,6 +81,12 @@ def entry_points(spark, d):
     return G.caller_counts(A.calls(spark, d), A.symbols(spark, d)).where("callers >= 3")
 
 
+@query(with_("calls symbols", ", c AS (SELECT dst AS id, count(DISTINCT src) AS callers FROM calls GROUP BY 1) SELECT s.id, s.name, callers FROM symbols s JOIN c USING (id) WHERE kind IN ('function', 'method') AND callers >= 5"))
+def entry_points_five(spark, d):
+    """entry_points with A3's own threshold."""
+    return G.caller_counts(A.calls(spark, d), A.symbols(spark, d)).where("callers >= 5")
+
+
 @query(with_("calls symbols", "SELECT id, name, kind FROM symbols WHERE kind IN ('function', 'method') AND NOT EXISTS (SELECT 1 FROM calls WHERE dst = id)"))
 def dead_code(spark, d):
     return G.dead_code(A.calls(spark, d), A.symbols(spark, d))

@@ -73,3 +73,8 @@ def test_deep_graphs_have_all_levels_and_summaries(spark):
 
 def test_hcgs_summaries_has_every_symbol(spark, sf001):
     assert QUERIES["hcgs_summaries"](spark, sf001).count() == A.symbols(spark, sf001).count()
+
+
+def test_entry_points_have_five_callers(spark, sf001):
+    rows = QUERIES["entry_points_five"](spark, sf001).collect()
+    assert rows and all(r["callers"] >= 5 for r in rows)
