@@ -3,7 +3,8 @@
 A text contains a benchmark item where, without gaps, WINDOW words in a row (the whole item if it is shorter) line up
 with the item's so that LEAST of them are equal (the same part of a shorter item). A seed's mask compares some word positions
 and ignores the others, so a substitution at an ignored position does not matter. The three masks together hit every
-window with WINDOW - LEAST substitutions, wherever these are.
+window with WINDOW - LEAST substitutions, wherever these are. Items of 6 to 9 words also have seeds of three words in a row, one more of
+them than substitutions they allow.
 
 Test hashes make a filter of fixed size, sent to the workers; training hashes that pass it are joined with the test hashes
 by value, and overlaps around these hits are verified word by word. Runs of hits in a text make one region, so the
@@ -26,7 +27,9 @@ from ..session import ship, written
 from .common import MARKS, hashed_words, mixed, pieces, strings
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 5, 6, 7), (0, 1, 6, 8, 9))
-WINDOW, LEAST, SHORTEST = 13, 10, 6
+#: The mask of short items; its number is len(MASKS).
+RUN = (0, 1, 2)
+WINDOW, LEAST, SHORTEST, COVERED = 13, 10, 6, 10
 FILTER_BITS = 1 << 25
 #: With more test hashes than this the filter would pass too much; then all training hashes are joined.
 MOST_FILTERED = 8_000_000
@@ -41,7 +44,7 @@ def words_of(column) -> tuple[np.ndarray, np.ndarray]:
 
 def seeds(words: np.ndarray, mask: int) -> np.ndarray:
     """The mask's hash at each position where it fits."""
-    offsets = MASKS[mask]
+    offsets = (*MASKS, RUN)[mask]
     n = max(0, len(words) - offsets[-1])
     h = np.full(n, mask + 1, np.uint64)
     for o, salt in zip(offsets, _SALTS):
@@ -64,18 +67,28 @@ def overlap(text: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, i
     return lo + shift + first, last - first, int(same[last] - same[first])
 
 
+def item_seeds(words: np.ndarray):
+    """(mask, places) of an item's seeds."""
+    n = len(words)
+    if n >= SHORTEST:
+        for mask in range(len(MASKS)):
+            yield mask, np.arange(max(0, n - MASKS[mask][-1]))
+        if n < COVERED:
+            yield len(MASKS), np.arange(0, n - 2, 3)
+
+
 def _test_seeds(batches):
     for batch in batches:
-        ids, hashes, places = [], [], []
+        ids, hashes, places, masks = [], [], [], []
         words, at = words_of(batch.column(1))
         for k, (lo, hi) in enumerate(zip(at[:-1], at[1:])):
-            for mask in range(len(MASKS)):
-                h = seeds(words[lo:hi], mask)
-                ids.append(np.full(len(h), k))
-                hashes.append(h)
-                places.append(np.arange(len(h)))
+            for mask, where in item_seeds(words[lo:hi]):
+                ids.append(np.full(len(where), k))
+                hashes.append(seeds(words[lo:hi], mask)[where])
+                places.append(where)
+                masks.append(np.full(len(where), mask))
         if ids:
-            yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32))], ["item", "hash", "item_at"])
+            yield pa.record_batch([batch.column(0).take(pa.array(np.concatenate(ids))), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(masks).astype(np.int32))], ["item", "hash", "item_at", "mask"])
 
 
 def _item_words(batches):
@@ -84,7 +97,7 @@ def _item_words(batches):
         yield pa.record_batch([batch.column(0), pa.array([words[lo:hi].view(np.int64) for lo, hi in zip(at[:-1], at[1:])], pa.list_(pa.int64()))], ["item", "item_words"])
 
 
-def _regions(sent):
+def _regions(sent, masks):
     """(id, region, start, words, hashes, places): stretches of a text's words around seeds that pass the filter."""
 
     def run(batches):
@@ -93,7 +106,7 @@ def _regions(sent):
             for part in pieces(batch, "text"):
                 words, at = words_of(part.column(1))
                 hit_at, hit_hash = [], []
-                for mask in range(len(MASKS)):
+                for mask in masks:
                     h = seeds(words, mask)
                     if bits is not None:
                         slot = (h % np.uint64(FILTER_BITS)).astype(np.int64)
@@ -101,7 +114,7 @@ def _regions(sent):
                     else:
                         found = np.arange(len(h))
                     doc = np.searchsorted(at, found, side="right") - 1
-                    found = found[found + MASKS[mask][-1] < at[doc + 1]]
+                    found = found[found + (*MASKS, RUN)[mask][-1] < at[doc + 1]]
                     hit_at.append(found)
                     hit_hash.append(h[found])
                 where, hashes = np.concatenate(hit_at), np.concatenate(hit_hash)
@@ -144,8 +157,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     ship(spark)
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = written(benchmark.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).where("text is not null").groupBy("text").agg(F.min("item").alias("item")).select("item", "text"), "items")
-    tests = written(items.mapInArrow(_test_seeds, f"item {item_kind}, hash long, item_at int"), "seeds")
+    tests = written(items.mapInArrow(_test_seeds, f"item {item_kind}, hash long, item_at int, mask int"), "seeds")
     slots = tests.select(F.pmod(F.col("hash"), F.lit(FILTER_BITS)).alias("slot")).distinct()  # the modulus is a power of two: equal for signed and unsigned
+    masks = sorted({*range(len(MASKS)), *(r["mask"] for r in tests.select("mask").distinct().collect())})  # at most 4 rows
     bits = None
     if tests.count() <= MOST_FILTERED:
         slot = slots.toPandas()["slot"].to_numpy(np.int64)
@@ -154,7 +168,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     sent = spark.sparkContext.broadcast(bits)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {kind}, start long, words array<long>, hashes array<long>, places array<int>"
-    regions = slim.mapInArrow(_regions(sent), shape).withColumn("region", F.xxhash64("id", "start", "words"))
+    regions = slim.mapInArrow(_regions(sent, masks), shape).withColumn("region", F.xxhash64("id", "start", "words"))
     regions = written(regions, "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select("region", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place"))
     shifts = hits.join(tests, "hash").select("region", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
