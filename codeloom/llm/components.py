@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import discard, written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -29,13 +29,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """edges(u, v) -> (node, root): the least node of its component, for each node that has an edge to another.
 
     A node's edges are never gathered in one task: minima are aggregated before the shuffle and a hot node's
-    join is left to adaptive skew splitting. Each round is written to the shared folder. The driver sees a count
-    and a sum per round.
+    join is left to adaptive skew splitting. Each round is written to the shared folder and the one before it deleted. The
+    driver sees a count and a sum per round. Nodes are of any ordered type.
     """
     now = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = _digest(now)
     for _ in range(most_rounds if seen[0] else 0):
-        now = written(_star(_star(now, True), False), "edges")
+        last, now = now, written(_star(_star(now, True), False), "edges")
+        discard(last)
         before, seen = seen, _digest(now)
         if before == seen:
             break

@@ -1,17 +1,21 @@
-"""Operator 5: n-gram Jaccard join by filters under several global orders.
+"""Operator 5: n-gram Jaccard join by prefix filters under several global orders.
 
-A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one class, known by a hash
-of the set, so copies cost one row each. Two classes link when share * union <= 100 * intersection. For any global order
-of shingles, linked sets of size n share a shingle among the first n - ceil(share * n / 100) + 1; so a candidate pair must do
-so under each of ORDERS different orders. All orders put frequent shingles last, which keeps common passages out of prefixes.
+A document's set holds the hashes (64 bits) of its distinct word shingles. Equal sets are one class, known by 128 bits of the
+set, so copies cost one row each. Two classes link when share * union <= 100 * intersection. For any global order of shingles,
+linked sets of size n share a shingle among the first n - ceil(share * n / 100) + 1; so linked sets do so under every order.
 
-1. One pass finds sizes and set hashes, and counts frequent shingles (a bounded list; it only guides the orders).
-2. Prefixes under the first order are dealt by shingle. A shingle with up to FEW classes gives its pairs; one with more gives
-   only links to its two hubs, so no group is expanded into all pairs.
-3. Bitmaps of the candidates' sets drop pairs that can't link; the others' texts come from another reading of one document a
-   class, and pairs must pass the other orders' filters, then the exact comparison of sets. Verified links make components.
-4. Shingles of more than FEW classes may hide pairs that hubs didn't show. Those matter only between different
-   components: such classes are compared by bitmaps in bounded cells, and what may link is verified, so components are exact.
+1. One pass finds sizes and keys of sets.
+2. First order: shingles of a hashed region (REGIONS) come first, the rarer the earlier, then the others by hash. The region's shingles
+   are dealt by shingle to be counted; those that two classes share go back to their classes, which keep what falls into their
+   prefixes. Classes of one prefix shingle whose sizes can link, directly or through sizes between them, are neighbours; components of that are neighbourhoods.
+3. Second order: the same with another hash and a larger region, among the classes of each neighbourhood, whose texts are read once more. Only
+   the intersection of both is compared.
+4. Third order: inside a cell (a neighbourhood, or two blocks of a large one) pairs of different components must share prefix
+   shingles under an order by the cell's own counts, then are compared exactly. Links make components.
+
+A large neighbourhood is cut into blocks. First each block is compared with itself; then what is not in the neighbourhood's
+largest component yet is compared with all blocks, so no cell grows with its group, and what is connected already is not compared again.
+Links are followed only as far as components need them, so components are exact and links aren't counted.
 
 Cases: a null or empty text, or one of blanks only, has the empty set, links with nothing and is its own component; with fewer
 words than a shingle, the whole sequence is one shingle; equal rows have equal results; rows of one id with different texts
@@ -24,14 +28,19 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ship, task_count, written
+from ..session import discard, ship, task_count, written
 from .common import BLANKS, hashed_words, mixed, pieces, strings
 from .components import components
 
-ORDERS, FEW, FREQUENT, BLOCK, BROADCAST_ROWS = 3, 8, 20_000, 16_384, 1_000_000
+#: Of the first two orders: the region's part of all shingles, as a multiple of 1 - share. A multiple of 1 would just hold a prefix.
+REGIONS = (5 / 3, 10 / 3)
+#: Shingles and classes of a block at most; a cell has two. Counts of a shingle's classes are told apart up to COUNTED.
+CELL_SHINGLES, CELL_CLASSES, COUNTED = 1_000_000, 4096, 65_536
+#: Rows of two 64-bit numbers that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 _SALTS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 
 
@@ -53,370 +62,306 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> list[np.nda
     return out
 
 
-def set_hash(s: np.ndarray) -> int:
-    """Of a set; 0 for the empty one."""
-    if not len(s):
-        return 0
-    both = np.array([mixed(s ^ _SALTS[0]).sum(), mixed(s ^ _SALTS[1]).sum() + np.uint64(len(s))], np.uint64)
-    return int(mixed(both[:1] * _SALTS[2] + mixed(both[1:]))[0].astype(np.int64)) or 1
+def set_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """128 bits of each set, as two numbers; zeros for the empty set alone."""
+    n = np.array([len(s) for s in sets], np.int64)
+    out, full = np.zeros((len(sets), 2), np.uint64), n > 0
+    if full.any():
+        flat, starts = np.concatenate(sets), np.concatenate([[0], np.cumsum(n[full])[:-1]])
+        a, b = (np.add.reduceat(mixed(flat ^ s), starts) for s in _SALTS[:2])
+        b += n[full].astype(np.uint64)
+        out[full, 0] = np.maximum(mixed(a * _SALTS[2] + mixed(b)), 1)
+        out[full, 1] = mixed(b * _SALTS[4] + mixed(a ^ _SALTS[5]))
+    return out
 
 
-def prefix_size(n: int, share: int) -> int:
-    return n - (share * n + 99) // 100 + 1
+def _binary(keys: np.ndarray) -> pa.Array:
+    """Rows of two numbers as 16 bytes each."""
+    offsets = np.arange(len(keys) + 1, dtype=np.int32) * 16
+    return pa.Array.from_buffers(pa.binary(), len(keys), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(keys))])
 
 
-def prefix(s: np.ndarray, order: int, frequent: np.ndarray, rank: np.ndarray, share: int) -> np.ndarray:
-    """The first shingles of a set under an order. frequent: sorted; rank: greater for the more frequent."""
-    key = mixed(s ^ _SALTS[3 + order]) >> np.uint64(16)
-    if len(frequent):
-        at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-        key |= np.where(frequent[at] == s, rank[at], 0).astype(np.uint64) << np.uint64(48)
-    return s[np.argsort(key, kind="stable")[: prefix_size(len(s), share)]]
+def prefix_size(n, share: int):
+    return n - (share * n + 99) // 100 + 1
 
 
-def _classes(size: int):
-    def run(batches):
-        seen: set[int] = set()
-        held, n = [], 0
+def first_tokens(sets: list[np.ndarray], order: int, share: int, cells: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes under an order of each (not empty) set's shingles in the region, or of its prefix where that is more; and how many. With cells,
+    equal shingles of different cells differ."""
+    n = np.array([len(s) for s in sets], np.int64)
+    starts = np.concatenate([[0], np.cumsum(n)[:-1]])
+    x = mixed(np.concatenate(sets) ^ _SALTS[3 + order])
+    if cells is not None:
+        x = mixed(x ^ np.repeat(mixed(cells.astype(np.uint64)), n))
+    part = REGIONS[order] * (100 - share) / 100
+    inside = x < np.uint64(int(part * 2**64)) if part < 1 else np.ones(len(x), bool)
+    got, need = np.add.reduceat(inside, starts, dtype=np.int64), prefix_size(n, share)
+    for k in np.flatnonzero(got < need):
+        mine = x[starts[k] : starts[k] + n[k]]
+        inside[starts[k] : starts[k] + n[k]] = mine <= np.partition(mine, need[k] - 1)[need[k] - 1]
+    return x[inside], np.maximum(got, need)
 
-        def common():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            often = np.flatnonzero(counts >= 16)
-            often = often[np.argsort(-counts[often], kind="stable")[:2000]]
-            k = len(often)
-            return pa.record_batch([pa.nulls(k, key_type), pa.array(values[often].astype(np.int64)), pa.array(counts[often].astype(np.int64)), pa.array(np.ones(k, bool))], ["id", "h", "n", "frequent"])
 
-        for batch in batches:
-            key_type = batch.schema.field(0).type
-            for part in pieces(batch, "text"):
-                sets = shingle_sets(*strings(part.column(1)), size)
-                hashes = [set_hash(s) for s in sets]
-                yield pa.record_batch([part.column(0), pa.array(hashes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(np.zeros(len(sets), bool))], ["id", "h", "n", "frequent"])
-                for s, h in zip(sets, hashes):
-                    if h not in seen:
-                        seen.add(h)
-                        held.append(s)
-                        n += len(s)
-                if n > 4_000_000:
-                    yield common()
-                    held, n = [], 0
-        if n:
-            yield common()
+def _tokens(sets: list[np.ndarray], h: np.ndarray, order: int, share: int, cells: np.ndarray | None = None) -> pa.RecordBatch:
+    tokens, count = first_tokens(sets, order, share, cells)
+    n = np.array([len(s) for s in sets], np.int32)
+    return pa.record_batch([pa.array(tokens.view(np.int64)), pa.array(np.repeat(h, count)), pa.array(np.repeat(n, count)), pa.array(np.repeat(count.astype(np.int32), count))], ["token", "h", "n", "s"])
 
-    return run
+
+TOKENS = "token long, h long, n int, s int"
 
 
-def _prefixes(size: int, share: int, sent):
+def _classes(size: int):
     def run(batches):
-        frequent, rank = sent.value
-        seen: set[int] = set()
         for batch in batches:
             for part in pieces(batch, "text"):
-                tokens, owners, sizes = [], [], []
-                for s in shingle_sets(*strings(part.column(0)), size):
-                    h = set_hash(s)
-                    if h and h not in seen:
-                        seen.add(h)
-                        tokens.append(prefix(s, 0, frequent, rank, share))
-                        owners.append(np.full(len(tokens[-1]), h, np.int64))
-                        sizes.append(np.full(len(tokens[-1]), len(s), np.int32))
-                if tokens:
-                    yield pa.record_batch([pa.array(np.concatenate(tokens).astype(np.int64)), pa.array(np.concatenate(owners)), pa.array(np.concatenate(sizes))], ["token", "h", "n"])
+                sets = shingle_sets(*strings(part.column(2)), size)
+                keys = set_keys(sets)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(keys[:, 0].astype(np.int64)), _binary(keys), pa.array([len(s) for s in sets], pa.int64())], ["id", "r", "h", "key", "n"])
 
     return run
 
 
-def _groups(batches, names: tuple[str, ...]):
-    """The partition's distinct rows, sorted by token then class, with where each token's begin."""
-    parts = [[b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False) for n in names] for b in batches]
-    if not parts:
-        return None
-    columns = [np.concatenate(c) for c in zip(*parts)]
-    order = np.lexsort((columns[1], columns[0]))
-    columns = [c[order] for c in columns]
-    new = np.ones(len(order), bool)
-    new[1:] = (columns[0][1:] != columns[0][:-1]) | (columns[1][1:] != columns[1][:-1])
-    columns = [c[new] for c in columns]
-    edge = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1], [True]]))
-    return columns, edge
-
-
-def _pairs_of(a: list[np.ndarray], b: list[np.ndarray]):
-    """Batches of distinct pairs, the lesser first."""
-    if not a:
-        return
-    x, y = np.concatenate(a), np.concatenate(b)
-    lo, hi = np.minimum(x, y), np.maximum(x, y)
-    both = np.unique(np.stack([lo, hi], 1)[lo != hi], axis=0)
-    yield pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["a", "b"])
-
-
-def _shared(batches):
-    """Rows of tokens that two classes or more have, with the token's number of classes."""
-    found = _groups(batches, ("token", "h", "n"))
-    if found:
-        (token, h, n), edge = found
-        size = np.repeat(np.diff(edge), np.diff(edge))
-        keep = size > 1
-        yield pa.record_batch([pa.array(token[keep]), pa.array(h[keep]), pa.array(n[keep].astype(np.int32)), pa.array(size[keep].astype(np.int64))], ["token", "h", "n", "size"])
-
-
-def _first_pairs(share: int):
-    """Pairs that share a token and whose sizes may link: all of a small group, those with two hubs of a larger one."""
-
-    def run(batches):
-        found = _groups(batches, ("token", "h", "n"))
-        if not found:
-            return
-        (_, h, n), edge = found
-        a, b, made = [], [], 0
-        luck = mixed(h.astype(np.uint64) ^ _SALTS[7])
-        for lo, hi in zip(edge[:-1], edge[1:]):
-            m = hi - lo
-            if m < 2:
-                continue
-            if m <= FEW:
-                i, j = np.triu_indices(m, 1)
-                i, j = lo + i, lo + j
-            else:
-                hubs = lo + np.argsort(luck[lo:hi], kind="stable")[:2]
-                i, j = np.repeat(hubs, m), np.tile(np.arange(lo, hi), 2)
-            fits = 100 * np.minimum(n[i], n[j]).astype(np.int64) >= share * np.maximum(n[i], n[j]).astype(np.int64)
-            a.append(h[i[fits]])
-            b.append(h[j[fits]])
-            made += len(a[-1])
-            if made > 500_000:
-                yield from _pairs_of(a, b)
-                a, b, made = [], [], 0
-        yield from _pairs_of(a, b)
-
-    return run
-
+def _new(sets: list[np.ndarray], seen: set[int]) -> tuple[list[int], np.ndarray]:
+    """Which sets are neither empty nor seen by this task (a bounded memory, so copies are dealt about once a task)."""
+    keys = set_keys(sets)
+    if len(seen) > 200_000:
+        seen.clear()
+    out = []
+    for k, h in enumerate(keys[:, 0].tolist()):
+        if h and h not in seen:
+            seen.add(h)
+            out.append(k)
+    return out, keys
 
-def _around(batches):
-    """(u, v): each class of a token's group with the group's least class."""
-    found = _groups(batches, ("token", "h"))
-    if found:
-        (_, h), edge = found
-        least = np.repeat(h[edge[:-1]], np.diff(edge))
-        both = np.unique(np.stack([h, least], 1), axis=0)
-        yield pa.record_batch([pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], ["u", "v"])
-
-
-def _compared(rows: pa.Table, share: int) -> np.ndarray:
-    """Of one cell: pairs of different components that bitmaps allow, whose lesser size band is the cell's."""
-    h, n, root, band, blk = (rows.column(c).to_numpy() for c in ("h", "n", "root", "band", "blk"))
-    g, i, j = (rows.column(c)[0].as_py() for c in ("g", "i", "j"))
-    maps = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("bits")]
-    width = min(map(len, maps))
-    for k, m in enumerate(maps):
-        while len(m) > width:
-            m = m[: len(m) // 2] | m[len(m) // 2 :]
-        maps[k] = m
-    x = np.stack(maps)
-    full = np.bitwise_count(x).sum(1, dtype=np.int64)
-    left, right = np.flatnonzero(blk == i), np.flatnonzero(blk == j)
-    step = max(1, 2_000_000 // max(1, len(right) * width))
-    out = [np.zeros((0, 2), np.int64)]
-    for at in range(0, len(left), step):
-        p = left[at : at + step, None]
-        only = np.bitwise_count(x[p[:, 0], None, :] & ~x[None, right, :]).sum(2, dtype=np.int64)
-        most = np.minimum(n[p] - only, n[right] - (full[right] - full[p] + only))
-        fits = (most * (100 + share) >= share * (n[p] + n[right])) & (root[p] != root[right]) & ((band[p] == g) | (band[right] == g))
-        if i == j:
-            fits &= p < right
-        a, b = np.nonzero(fits)
-        out.append(np.sort(np.stack([h[left[at + a]], h[right[b]]], 1), axis=1))
-    return np.concatenate(out)
-
-
-def _between(share: int):
-    """Cells come one after another, each whole in its partition and sorted; one is held at a time."""
 
+def _dealt(size: int, share: int):
     def run(batches):
-        held, key = [], None
+        seen: set[int] = set()
         for batch in batches:
-            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("c", "g", "i", "j")], 1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                if lo == hi:
-                    continue
-                if key is not None and (keys[lo] != key).any():
-                    both = _compared(pa.Table.from_batches(held), share)
-                    yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
-                    held = []
-                key = keys[lo]
-                held.append(batch.slice(lo, hi - lo))
-        if held:
-            both = _compared(pa.Table.from_batches(held), share)
-            yield pa.record_batch([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            for part in pieces(batch, "text"):
+                sets = shingle_sets(*strings(part.column(0)), size)
+                new, keys = _new(sets, seen)
+                if new:
+                    yield _tokens([sets[k] for k in new], keys[new, 0].astype(np.int64), 0, share)
 
     return run
 
 
-def _hidden(large: DataFrame, roots: DataFrame, bits: DataFrame, share: int) -> DataFrame:
-    """Pairs (a, b) of different components among classes that large groups connect. Classes are compared by bitmaps inside cells: a
-    neighbourhood (what shared tokens connect), a band of set sizes with the one above it, and two blocks of at most
-    BLOCK classes, so no cell grows with its group. Only pairs that may link leave a cell."""
-    tasks = max(1, task_count(large.sparkSession))
-    near = components(large.select("token", "h").repartition(tasks, "token").mapInArrow(_around, "u long, v long").distinct())
-    near = near.select(F.col("node").alias("h"), F.col("root").alias("c")).join(roots.withColumnRenamed("node", "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    open_ = near.groupBy("c").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("c")
-    near = near.join(open_, "c", "left_semi")
-    band = F.floor(F.log(F.col("n").cast("double")) / float(np.log(100 / share))).cast("int")
-    rows = near.join(bits.withColumn("band", band), "h")
-    rows = rows.withColumn("g", F.explode(F.array(F.col("band"), F.col("band") - 1)))
-    rows = written(rows.select("h", "n", "root", "band", "bits", "c", "g"), "cells")
-    blocks = rows.groupBy("c", "g").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("c", "g", "blocks")
-    rows = rows.join(blocks, ["c", "g"]).withColumn("blk", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
-    cells = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o")).withColumn("i", F.least("blk", "o")).withColumn("j", F.greatest("blk", "o")).drop("o", "blocks")
-    return cells.repartition(tasks, "c", "g", "i", "j").sortWithinPartitions("c", "g", "i", "j").mapInArrow(_between(share), "a long, b long").distinct()
-
-
-def bitmap(s: np.ndarray) -> bytes:
-    """Of a set: a bit for each hash modulo a power of two no less than its size."""
-    m = max(256, 1 << (len(s) - 1).bit_length())
-    out = np.zeros(m, bool)
-    out[(s & np.uint64(m - 1)).astype(np.int64)] = True
-    return np.packbits(out).tobytes()
-
-
-def may_link(x: bytes, n: int, y: bytes, m: int, share: int) -> bool:
-    """Whether bitmaps of sets of sizes n and m leave room for a link: each bit that only x has is an element that y lacks."""
-    if 100 * min(n, m) < share * max(n, m):
-        return False
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):  # the halves of a larger one laid over each other are the smaller one
-        a = a[: len(a) // 2] | a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] | b[len(b) // 2 :]
-    most = min(n - int(np.bitwise_count(a & ~b).sum()), m - int(np.bitwise_count(b & ~a).sum()))
-    return most * (100 + share) >= share * (n + m)
-
-
-def _bitmaps(size: int):
+def _texts(size: int):
+    """Class and compressed text. Text is smaller than its set of hashes, so this is what travels."""
+
     def run(batches):
+        seen: set[int] = set()
+        z = zstandard.ZstdCompressor(3)
         for batch in batches:
             for part in pieces(batch, "text"):
                 sets = shingle_sets(*strings(part.column(0)), size)
-                yield pa.record_batch([pa.array([set_hash(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([bitmap(s) for s in sets], pa.binary())], ["h", "n", "bits"])
+                new, keys = _new(sets, seen)
+                if new:
+                    texts = [z.compress(part.column(0)[k].as_buffer()) for k in new]
+                    yield pa.record_batch([pa.array(keys[new, 0].astype(np.int64)), _binary(keys[new]), pa.array([len(sets[k]) for k in new], pa.int64()), pa.array(texts, pa.binary())], ["h", "key", "n", "z"])
 
     return run
 
 
-def _room(share: int):
-    def run(batches):
-        for batch in batches:
-            n, m = batch.column(3).to_pylist(), batch.column(5).to_pylist()
-            keep = pa.array([may_link(x.as_buffer(), n[k], y.as_buffer(), m[k], share) for k, (x, y) in enumerate(zip(batch.column(2), batch.column(4)))], pa.bool_())
-            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
-
-    return run
-
+def _unpacked(z: pa.Array, size: int) -> list[np.ndarray]:
+    unpack = zstandard.ZstdDecompressor()
+    return shingle_sets(*strings(pa.array([unpack.decompress(x.as_buffer()) for x in z], pa.large_binary()).cast(pa.large_string())), size)
 
-def _texts(size: int):
-    """(h, z): the class and the compressed text. Text is smaller than its set of hashes, so this is what travels."""
 
+def _dealt_again(size: int, share: int):
     def run(batches):
         for batch in batches:
-            for part in pieces(batch, "text"):
-                hashes = [set_hash(s) for s in shingle_sets(*strings(part.column(0)), size)]
-                z = zstandard.ZstdCompressor(3)
-                yield pa.record_batch([pa.array(hashes, pa.int64()), pa.array([z.compress((t or "").encode()) for t in part.column(0).to_pylist()], pa.binary())], ["h", "z"])
+            for at in range(0, batch.num_rows, 256):
+                rows = batch.slice(at, 256)
+                yield _tokens(_unpacked(rows.column(2), size), rows.column(1).to_numpy(), 1, share, rows.column(0).to_numpy())
 
     return run
 
 
-def linked(a: np.ndarray, b: np.ndarray, share: int, frequent: np.ndarray, rank: np.ndarray) -> bool:
-    """Whether two sets link: by size, by the filters of the orders after the first, then exactly."""
-    small, large = sorted((len(a), len(b)))
-    if 100 * small < share * large:
-        return False
-    for k in range(1, ORDERS):
-        if not np.intersect1d(prefix(a, k, frequent, rank, share), prefix(b, k, frequent, rank, share), assume_unique=True).size:
-            return False
-    shared = np.intersect1d(a, b, assume_unique=True).size
-    return 100 * shared >= share * (small + large - shared)
+def _counted(batches):
+    """Of rows sorted by token and class: the distinct ones of tokens that several classes have, with their number. A token's rows are held
+    until its end, or until COUNTED; from then on they pass with that number."""
+    names = ["token", "h", "n", "s"]
+    held, passing = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)], None
+    out = lambda cols, df: pa.record_batch([pa.array(c) for c in cols] + [pa.array(df.astype(np.int32))], [*names, "df"])
+    for batch in batches:
+        cols = [np.concatenate([a, batch.column(batch.schema.get_field_index(n)).to_numpy()]) for a, n in zip(held, names)]
+        token, h = cols[:2]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (h[1:] != h[:-1])
+        if passing is not None and len(token):
+            new[0] &= (token[0], h[0]) != passing
+        cols = [c[new] for c in cols]
+        if passing is not None:
+            more = int(np.searchsorted(cols[0], passing[0], side="right"))
+            if more:
+                yield out([c[:more] for c in cols], np.full(more, COUNTED))
+                passing, cols = (cols[0][more - 1], cols[1][more - 1]), [c[more:] for c in cols]
+        held = cols
+        if not len(cols[0]):
+            continue
+        passing = None
+        edge = np.flatnonzero(np.concatenate([[True], cols[0][1:] != cols[0][:-1]]))
+        last = int(edge[-1])
+        df = np.repeat(np.diff(edge), np.diff(edge))
+        if (df > 1).any():
+            yield out([c[:last][df > 1] for c in cols], np.minimum(df[df > 1], COUNTED))
+        held = [c[last:] for c in cols]
+        if len(held[0]) >= COUNTED:
+            yield out(held, np.full(len(held[0]), COUNTED))
+            passing, held = (held[0][-1], held[1][-1]), [c[:0] for c in held]
+    if len(held[0]) > 1:
+        yield out(held, np.full(len(held[0]), len(held[0])))
+
+
+def neighbourhoods(rows: DataFrame, twins: DataFrame, share: int) -> DataFrame:
+    """(h, c) of classes that share a prefix token of rows (token, h, n, s) with another whose size can link, directly or through others.
+
+    A class's tokens that no other class has come first in its prefix: s less the shared ones. Where s is no more than the prefix, all
+    of its rows are in it. In a token's group sorted by size, neighbours whose sizes can't link part the group."""
+    tasks = max(1, task_count(rows.sparkSession))
+    shared = rows.repartition(tasks, "token").sortWithinPartitions("token", "h").mapInArrow(_counted, TOKENS + ", df int")
+    mine = Window.partitionBy("h")
+    need = F.expr(f"n - (cast({share} as long) * n + 99) div 100 + 1")
+    ranked = shared.repartition(tasks, "h").select("token", "h", "n", "s", F.row_number().over(mine.orderBy("df", "token")).alias("k"), F.count(F.lit(1)).over(mine).alias("m"))
+    first = ranked.where((F.col("s") <= need) | (F.col("s") - F.col("m") + F.col("k") <= need)).select("token", "h", "n")
+    group = Window.partitionBy("token").orderBy("n", "h")
+    pairs = first.repartition(tasks, "token").select("h", "n", F.lag("h").over(group).alias("v"), F.lag("n").over(group).alias("w"))
+    edges = written(pairs.where(F.col("v").isNotNull() & (100 * F.col("w").cast("long") >= share * F.col("n").cast("long"))).select(F.col("h").alias("u"), "v").distinct(), "near")
+    near = components(edges).select(F.col("node").alias("h"), F.col("root").alias("c"))
+    out = written(near.union(twins.join(near, "h", "left_anti").select("h", F.col("h").alias("c"))), "near")
+    discard(edges)
+    return out
+
 
+def _compact(rows: DataFrame) -> DataFrame:
+    """Hinted for a broadcast if its counted rows (of two numbers at most) allow that."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+def cell_links(sets: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray, share: int) -> list[tuple[int, int]]:
+    """Links between sets of a left and a right mask, enough to connect all that links connect. label: equal for what is connected already.
+
+    Orders a cell's shingles by their counts in it, rarest first, then by hash: a pair must share one of both prefixes."""
+    n = np.array([len(s) for s in sets], np.int64)
+    label = np.unique(label, return_inverse=True)[1]
+    values, ids, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), n)
+    rank = np.empty(len(values), np.int64)
+    rank[np.lexsort((mixed(values ^ _SALTS[5]), df))] = np.arange(len(values))
+    at = np.lexsort((rank[ids], owner))
+    ids, place = ids[at], np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+    common = df[ids] > 1  # what one set alone has is in no intersection
+    ids, owner, first = ids[common], owner[common], (place < np.repeat(prefix_size(n, share), n))[common]
+    bounds = np.searchsorted(owner, np.arange(len(sets) + 1))
+    fids, fowner = ids[first], owner[first]
+    fbounds = np.searchsorted(fowner, np.arange(len(sets) + 1))
+    by_token = np.argsort(fids, kind="stable")
+    holders, tbounds = fowner[by_token], np.searchsorted(fids[by_token], np.arange(len(values) + 1))
+    both, found, flag = left & right, [], np.zeros(len(values), bool)
+    for i in np.flatnonzero(left):
+        mine = fids[fbounds[i] : fbounds[i + 1]]
+        if not len(mine):
+            continue
+        hits = np.bincount(np.concatenate([holders[tbounds[t] : tbounds[t + 1]] for t in mine]), minlength=len(sets))
+        to = np.flatnonzero((hits > 0) & right & (label != label[i]) & (100 * np.minimum(n, n[i]) >= share * np.maximum(n, n[i])))
+        to = to[(to < i) | ~both[to] | ~both[i]]
+        to = to[np.argsort(-hits[to], kind="stable")]
+        flag[ids[bounds[i] : bounds[i + 1]]] = True
+        step = 4
+        while len(to):
+            now, to = to[:step], to[step:]
+            parts = [ids[bounds[j] : bounds[j + 1]] for j in now]
+            same = np.add.reduceat(flag[np.concatenate(parts)], np.cumsum([0, *map(len, parts[:-1])]), dtype=np.int64)
+            for j in now[100 * same >= share * (n[i] + n[now] - same)]:
+                if label[j] != label[i]:
+                    label[label == label[j]] = label[i]
+                    found.append((int(i), int(j)))
+            to, step = to[label[to] != label[i]], 128
+        flag[ids[bounds[i] : bounds[i + 1]]] = False
+    return found
+
+
+def _cells(size: int, share: int):
+    """Cells (c, i, j) come one after another, each whole in its partition and sorted; one is held at a time. Side 0 is left, 1 right, 2 both."""
+
+    def links(rows: pa.Table) -> pa.RecordBatch:
+        key, root, side = rows.column("key").to_pylist(), rows.column("root").to_pylist(), rows.column("side").to_numpy()
+        number = {r: k for k, r in enumerate(dict.fromkeys(root))}
+        found = cell_links(_unpacked(rows.column("z"), size), np.array([number[r] for r in root]), side != 1, side != 0, share) if len(number) > 1 else []
+        return pa.record_batch([pa.array([key[a] for a, _ in found], pa.binary()), pa.array([key[b] for _, b in found], pa.binary())], ["u", "v"])
 
-def _links(size: int, share: int, sent):
     def run(batches):
-        frequent, rank = sent.value
-        last, own = None, None
-        unpack = zstandard.ZstdDecompressor()
+        held, now = [], None
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                rows = batch.slice(at, 128)
-                a, b = rows.column(0).to_pylist(), rows.column(1).to_pylist()
-                new = [k for k in range(len(a)) if a[k] != (a[k - 1] if k else last)]
-                texts = [unpack.decompress(rows.column(2)[k].as_buffer()) for k in new] + [unpack.decompress(z.as_buffer()) for z in rows.column(3)]
-                sets = shingle_sets(*strings(pa.array(texts, pa.binary()).cast(pa.string())), size)
-                mine, found = dict(zip(new, sets)), []
-                for k in range(len(a)):
-                    own = mine.get(k, own)
-                    found.append(linked(own, sets[len(new) + k], share, frequent, rank))
-                last = a[-1]
-                keep = pa.array(found)
-                yield pa.record_batch([rows.column(0).filter(keep), rows.column(1).filter(keep)], ["u", "v"])
+            if not batch.num_rows:
+                continue
+            keys = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("c", "i", "j")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1), len(keys)]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if now is not None and (keys[lo] != now).any():
+                    yield links(pa.Table.from_batches(held))
+                    held = []
+                now = keys[lo]
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield links(pa.Table.from_batches(held))
 
     return run
 
 
-def _of_classes(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, function, shape: str) -> DataFrame:
-    """One row of function's for each class wanted(h), from a reading of one document a class."""
-    readers = written(nodes.join(wanted.distinct(), "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")), "readers")
-    small = readers.count() <= BROADCAST_ROWS
-    ids, classes = readers.select("id").distinct(), readers.select("h")
-    few = docs.join(F.broadcast(ids) if small else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
-    return few.select("text").mapInArrow(function, shape).join(F.broadcast(classes) if small else classes, "h", "left_semi").dropDuplicates(["h"])
-
-
-def _both(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h")))
+def _compared(rows: DataFrame, size: int, share: int) -> DataFrame:
+    cells = rows.select("c", "i", "j", "side", "root", "key", "z").repartition(max(1, task_count(rows.sparkSession)), "c", "i", "j").sortWithinPartitions("c", "i", "j")
+    return written(cells.mapInArrow(_cells(size, share), "u binary, v binary"), "links")
 
 
-def _beside(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """pairs (a, b) with the columns of rows for either class."""
-    left, right = (rows.select(F.col("h").alias(n), *(F.col(c).alias(f"{n}_{c}") for c in rows.columns[1:])) for n in "ab")
-    return pairs.join(right, "b").join(left, "a")
+def _blocks(shingles, classes):
+    return F.greatest(F.lit(1), F.ceil(shingles / CELL_SHINGLES), F.ceil(classes / CELL_CLASSES)).cast("int")
 
 
-def _verified(left: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, share: int, sent) -> DataFrame:
-    """Links (u, v) among pairs (a, b) that bitmaps leave, by the texts."""
-    both = _beside(left, _of_classes(_both(left), docs, nodes, _texts(size), "h long, z binary"))
-    return both.select("a", "b", "a_z", "b_z").mapInArrow(_links(size, share, sent), "u long, v long")
+def _links(texts: DataFrame, size: int, share: int) -> DataFrame:
+    """Links (u, v) of texts (h, key, n, z, c) inside each c, enough for components."""
+    large = texts.groupBy("c").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("blocks")).where("blocks > 1")
+    large = written(large, "large")
+    blk = F.coalesce(F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"), F.lit(0))
+    rows = texts.join(_compact(large), "c", "left").withColumn("i", blk)
+    links = _compared(rows.withColumns({"j": F.col("i"), "side": F.lit(2), "root": F.col("key")}), size, share)
+    if large.isEmpty():
+        return links
+    roots = components(links).select(F.col("node").alias("key"), "root")
+    rows = texts.join(_compact(large), "c").withColumn("j", blk).join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    most = rows.groupBy("c", "root").agg(F.count(F.lit(1)).alias("m")).groupBy("c").agg(F.max_by("root", F.struct("m", "root")).alias("most"))
+    rows = written(rows.join(most, "c").withColumn("minor", F.col("root") != F.col("most")).drop("most"), "open")
+    minors = written(rows.where("minor").groupBy("c").agg(_blocks(F.sum("n"), F.count(F.lit(1))).alias("parts")), "minors")
+    rows = rows.join(_compact(minors), "c")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lefts = rows.where("minor").withColumn("i", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")).drop("j").select("*", every("blocks").alias("j"), F.lit(0).alias("side"))
+    rights = rows.select("*", every("parts").alias("i"), F.lit(1).alias("side"))
+    return links.union(_compared(lefts.unionByName(rights), size, share))
 
 
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, share: int = 85) -> DataFrame:
-    """One row per row of docs: the id, n_shingles, component_id (least id reachable by links) and n_links, the links
-    of its class with other classes as far as they were verified."""
+    """One row per row of docs: the id, n_shingles and component_id (least id reachable by links)."""
     spark = docs.sparkSession
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    first = written(slim.mapInArrow(_classes(size), f"id {kind}, h long, n long, frequent boolean"), "classes")
-    nodes = first.where("not frequent").select("id", "h", "n")
-    top = first.where("frequent").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).collect()  # at most FREQUENT rows
-    values = np.array([r["h"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(values)
-    sent = spark.sparkContext.broadcast((values[order], (len(top) - np.arange(len(top)))[order].astype(np.int64)))
-
-    dealt = slim.select("text").mapInArrow(_prefixes(size, share, sent), "token long, h long, n int").repartition(max(1, task_count(spark)), "token")
-    shared = written(dealt.mapInArrow(_shared, "token long, h long, n int, size long"), "shared")
-    by_token = shared.select("token", "h", "n").repartition(max(1, task_count(spark)), "token")
-    pairs = written(by_token.mapInArrow(_first_pairs(share), "a long, b long").distinct(), "pairs")
-    bits = written(_of_classes(_both(pairs).union(shared.where(F.col("size") > FEW).select("h")), slim, nodes, _bitmaps(size), "h long, n int, bits binary"), "bits")
-    close = _beside(pairs, bits).select("a", "b", "a_bits", "a_n", "b_bits", "b_n").mapInArrow(_room(share), "a long, b long")
-    links = written(_verified(written(close, "close"), slim, nodes, size, share, sent), "links")
-    roots = components(links)
-    large = shared.where(F.col("size") > FEW)
-    if not large.isEmpty():
-        rest = written(_hidden(large, roots, bits, share).join(pairs, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            links = written(links.union(_verified(rest, slim, nodes, size, share, sent)), "links")
-            roots = components(links)
-    degree = links.select(F.col("u").alias("h")).union(links.select(F.col("v").alias("h"))).groupBy("h").agg(F.count(F.lit(1)).alias("n_links"))
-    known = nodes.join(roots.withColumnRenamed("node", "h").join(degree, "h"), "h", "left").withColumn("root", F.coalesce("root", "h"))
-    least = known.where("h != 0").groupBy("root").agg(F.min("id").alias("component"))
-    out = known.join(least, "root", "left")
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("h") == 0, F.col("id")).otherwise(F.col("component")).alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
+    slim = docs.select(F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("r"), F.col(text_col).alias("text"))
+    nodes = written(slim.mapInArrow(_classes(size), f"id {kind}, r long, h long, key binary, n long"), "classes")
+    # Different sets whose first 64 bits agree are neighbours without a shared token.
+    twins = written(nodes.groupBy("h").agg(F.min("key").alias("x"), F.max("key").alias("y")).where("x != y").select("h"), "twins")
+
+    near = neighbourhoods(slim.select("text").mapInArrow(_dealt(size, share), TOKENS), twins, share)
+    readers = written(nodes.join(_compact(near), "h", "left_semi").groupBy("key").agg(F.min("r").alias("r")).select("r").distinct(), "readers")
+    few = slim.select("r", "text").join(_compact(readers), "r", "left_semi").select("text")
+    texts = written(few.mapInArrow(_texts(size), "h long, key binary, n long, z binary").join(_compact(near), "h"), "texts")
+    again = neighbourhoods(texts.select("c", "h", "z").mapInArrow(_dealt_again(size, share), TOKENS), twins, share)
+    links = _links(texts.drop("c").join(_compact(again), "h"), size, share)
+    roots = components(links).select(F.col("node").alias("key"), "root")
+
+    classes = nodes.where("h != 0").groupBy("key").agg(F.min("id").alias("id")).join(roots, "key", "left")
+    classes = written(classes.select("key", "id", F.coalesce("root", "key").alias("root")), "sets")
+    least = classes.groupBy("root").agg(F.min("id").alias("component_id"))
+    out = nodes.join(classes.join(least, "root").select("key", "component_id"), "key", "left")
+    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("h") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))

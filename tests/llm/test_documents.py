@@ -128,18 +128,88 @@ def test_join_of_odd_rows(spark, odd):
     assert J.jaccard_classes(df.where("false")).collect() == []
 
 
-def test_bitmaps_lose_no_link():
+def random_sets(r, n):
+    """Sets around a few cores, so that pairs of every likeness occur."""
+    cores = [np.unique(r.integers(0, 2**63, int(r.integers(1, 200))).astype(np.uint64)) for _ in range(4)]
+    out = []
+    for _ in range(n):
+        core = cores[r.integers(4)]
+        kept = core[r.random(len(core)) >= r.random() * 0.25]
+        out.append(np.unique(np.concatenate([kept, r.integers(0, 2**63, int(r.integers(0, 1 + len(core) // 6))).astype(np.uint64)])))
+    return [s for s in out if len(s)]
+
+
+def linked(a, b, share):
+    same = len(np.intersect1d(a, b))
+    return 100 * same >= share * (len(a) + len(b) - same)
+
+
+def test_orders_lose_no_link():
     r = np.random.default_rng(1)
-    for _ in range(300):
-        n = int(r.integers(1, 400))
-        a = np.unique(r.integers(0, 2**63, n).astype(np.uint64))
-        b = np.unique(np.concatenate([a[r.random(len(a)) > r.random() * 0.3], r.integers(0, 2**63, int(r.integers(0, 1 + n // 5))).astype(np.uint64)]))
-        if len(b):
-            none = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            shared = len(np.intersect1d(a, b))
-            exact = 100 * shared >= 85 * (len(a) + len(b) - shared)
-            assert J.linked(a, b, 85, *none) == exact
-            assert not exact or J.may_link(J.bitmap(a), len(a), J.bitmap(b), len(b), 85)
+    for share in (60, 80, 85, 100):
+        sets = random_sets(r, 80)
+        for order in (0, 1):
+            tokens, count = J.first_tokens(sets, order, share)
+            assert (count >= [J.prefix_size(len(s), share) for s in sets]).all()
+            mine = np.split(tokens, np.cumsum(count)[:-1])
+            df = Counter(tokens.tolist())
+            part = min(1, J.REGIONS[order] * (100 - share) / 100) * 2**64
+            first = [set(sorted(t.tolist(), key=lambda x: (x >= part, df[x] if x < part else 0, x))[: J.prefix_size(len(s), share)]) for s, t in zip(sets, mine)]
+            assert all(first[a] & first[b] for a in range(len(sets)) for b in range(a) if linked(sets[a], sets[b], share))
+
+
+def test_cells_connect_what_links_connect():
+    r = np.random.default_rng(3)
+    for trial in range(12):
+        sets, share = random_sets(r, 50), (70, 80, 85)[trial % 3]
+        links = [(a, b) for a in range(len(sets)) for b in range(a) if linked(sets[a], sets[b], share)]
+        whole = np.ones(len(sets), bool)
+        found = J.cell_links(sets, np.arange(len(sets)), whole, whole, share)
+        assert all(linked(sets[a], sets[b], share) for a, b in found)
+        assert least_reachable(range(len(sets)), found) == least_reachable(range(len(sets)), links)
+        left = r.random(len(sets)) < 0.4
+        found = J.cell_links(sets, np.arange(len(sets)), left, ~left, share)
+        assert least_reachable(range(len(sets)), found) == least_reachable(range(len(sets)), [(a, b) for a, b in links if left[a] != left[b]])
+
+
+def test_counts_of_tokens_over_batches(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(J, "COUNTED", 7)
+    r = random.Random(4)
+    for step in (1, 2, 5, 1000):
+        rows = sorted((t, r.randrange(40), 10, 3) for t in [1] * 30 + [2] * 2 + [3] + [4] * 9 + [5] * 50 + [6] for _ in range(2))
+        batches = [pa.RecordBatch.from_arrays([pa.array([x[c] for x in rows[k : k + step]], kind) for c, kind in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["token", "h", "n", "s"]) for k in range(0, len(rows), step)]
+        got = [tuple(x.values()) for b in J._counted(iter(batches)) for x in b.to_pylist()]
+        df = Counter(t for t, _ in {x[:2] for x in rows})
+        assert sorted(got) == sorted((*x, min(7, df[x[0]])) for x in set(rows) if df[x[0]] > 1)
+
+
+def test_join_in_blocks(spark, monkeypatch):
+    """Large groups are cut into blocks, and what the first comparison left apart is compared with all blocks."""
+    monkeypatch.setattr(J, "CELL_CLASSES", 7)
+    r = random.Random(11)
+    core = [f"w{k}" for k in range(100)]
+    texts = drifting(r, 40, 80, 1) + [" ".join(w if r.random() > 0.02 else f"z{r.randrange(10**6)}" for w in core) for _ in range(50)] + ["few words only"] * 3
+    r.shuffle(texts)
+    rows = list(enumerate(texts))
+    got = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got), key=repr) == brute_join(rows)
+
+
+def test_classes_with_equal_halves_of_keys_are_neighbours(spark):
+    rows = spark.createDataFrame([(1, 10, 5, 1), (1, 11, 5, 1), (2, 12, 5, 1), (1, 13, 500, 1)], J.TOKENS)
+    near = {x["h"]: x["c"] for x in J.neighbourhoods(rows, spark.createDataFrame([(11,), (12,)], "h long"), 85).collect()}
+    assert near[10] == near[11] and near[12] == 12 and 13 not in near
+
+
+def test_keys_of_sets():
+    r = np.random.default_rng(5)
+    sets = random_sets(r, 60) + [np.zeros(0, np.uint64)]
+    keys = J.set_keys(sets)
+    assert (keys[-1] == 0).all() and (keys[:-1, 0] > 0).all()
+    assert (J.set_keys(sets[::-1])[::-1] == keys).all() and (J.set_keys([sets[3]])[0] == keys[3]).all()
+    assert len({tuple(k) for k in keys.tolist()}) == len({s.tobytes() for s in sets})
 
 
 # --- decontamination
