@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, task_count
-from .common import pieces
+from .common import mixed, pieces
 
 BLOCK_BYTES = 6_000_000
 _LOADED: dict[str, tuple] = {}
@@ -102,11 +102,21 @@ def _unpacked(payload) -> pa.Table:
 
 
 def _pack(batches, most: int = 24_000_000):
-    """(block, id, text) rows to (block, payload) rows, a few for each block and input partition."""
-    held, size = [], 0
+    """(block, id, text) rows, with a hash of the row and the number of blocks, to (block, payload) rows, a few for each block and input partition.
+
+    A row's block depends on its partition and on how much of that came before, so repeated rows spread: a block gets `most` bytes
+    of one row at a time at most. The input's partitions must come again in the same order, as those of files do."""
+    from pyspark import TaskContext
+
+    held, size, turn = [], 0, [TaskContext.get().partitionId() << 20]
 
     def out():
-        rows = pa.Table.from_batches(held).sort_by("block")
+        rows = pa.Table.from_batches(held)
+        count = int(rows.column("blocks")[0].as_py())
+        salt = mixed(np.array([turn[0]], np.uint64))
+        turn[0] += 1
+        dealt = (mixed(rows.column("block").to_numpy().view(np.uint64) ^ salt) % np.uint64(count)).astype(np.int32)
+        rows = rows.select(["id", "text"]).append_column("block", pa.array(dealt)).sort_by("block")
         blocks = rows.column("block").to_numpy()
         cuts = np.flatnonzero(np.diff(blocks)) + 1
         for lo, hi in zip([0, *cuts], [*cuts, len(blocks)]):
@@ -160,7 +170,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     tasks = task_count(spark)
     blocks = max(1, -(-total // block_bytes), min(tasks, -(-total // 1_000_000)))
     buckets = int(blocks)
-    dealt = slim.select(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).cast("int").alias("block"), "id", "text")
+    dealt = slim.select(F.xxhash64("id", "text").alias("block"), F.lit(blocks).alias("blocks"), "id", "text")
     packed = dealt.mapInArrow(_pack, "block int, payload binary").repartition(max(tasks, 1), "block")
 
     def ask(rows: pa.Table) -> pa.Table:

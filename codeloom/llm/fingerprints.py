@@ -2,7 +2,8 @@
 
 prefix(text) keeps sums of code point times power of a base, modulo 2**31 - 1, for two bases. Their differences answer
 whether any two spans are equal, and binary search over them finds longest common extensions. The hash of every span of
-GRAM code points (fewer in short texts) comes from the same arrays; the KEEP smallest distinct ones, with the hash and length of the whole
+GRAM code points comes from the same arrays, in every text alike: a text counts as having GRAM - 1 points beyond Unicode before and after it,
+so a short text has spans too and no length is a border. The KEEP smallest distinct ones, with the hash and length of the whole
 text, are the fingerprint. The likeness of two fingerprints is the Dice coefficient of the spans, estimated from the
 KEEP smallest of both; equal fingerprints have likeness 1.
 
@@ -109,17 +110,24 @@ def common_extension(a: list[np.ndarray], i: int, b: list[np.ndarray], j: int) -
     return low
 
 
-def gram_size(n: int) -> int:
-    """The length of spans in a text of n points: GRAM, less in short texts."""
-    return GRAM if n >= 4 * GRAM else 4 if n >= 16 else 1
+EDGE = np.full(GRAM - 1, 0x110000, np.uint64)
+
+
+def padded(sums: np.ndarray) -> np.ndarray:
+    """The first base's array of the text between two EDGEs, from the text's own."""
+    n, m, up = len(sums) - 1, len(EDGE), _powers(BASES[0], len(sums) + 2 * len(EDGE))[0]
+    edge = np.zeros(m + 1, np.uint64)
+    np.cumsum((EDGE + np.uint64(1)) * up[:m] % P, out=edge[1:])
+    edge = _reduced(edge)
+    inner = _reduced(edge[m] + up[m] * sums)
+    return np.concatenate([edge[:m], inner, _reduced(inner[n] + up[m + n] * edge[1:])])
 
 
 def grams(arrays: list[np.ndarray], begin: int = 0) -> np.ndarray:
-    """32-bit hashes of all spans of the text's gram size from begin on."""
+    """32-bit hashes of the text's spans from the begin-th on; an empty text has none."""
     n = len(arrays[0]) - 1
-    size = gram_size(n)
-    starts = np.arange(begin, n - size + 1) if n else np.zeros(0, np.int64)
-    return (mixed(span_hashes(arrays, starts, size) * np.uint64(64) + np.uint64(size)) >> np.uint64(32)).astype(np.uint32)
+    starts = np.arange(begin, n + len(EDGE)) if n else np.zeros(0, np.int64)
+    return (mixed(span_hashes([padded(arrays[0])], starts, GRAM) * np.uint64(64) + np.uint64(GRAM)) >> np.uint64(32)).astype(np.uint32)
 
 
 def least(h: np.ndarray) -> np.ndarray:
@@ -173,8 +181,7 @@ def compared(a: Text, b: Text) -> tuple:
     if edited == a.text:
         return edited_row(a, edited, a.print, 1.0, n, b)
     arrays = spliced(a.arrays, n - k, b.arrays, len(head))
-    size = gram_size(len(edited))
-    whole = max(0, n - k - size + 1) if size == gram_size(n) else 0
+    whole = n - k if edited else 0  # so many spans don't reach beyond what both have
     sketch = least(np.concatenate([a.grams[:whole], grams(arrays, whole)]))
     return edited_row(a, edited, written_out(arrays, sketch), _alike(a.sketch, sketch), common_extension(a.arrays, 0, arrays, 0), b)
 

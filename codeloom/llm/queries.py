@@ -16,7 +16,7 @@ from .quality import fit_quality, score_quality
 from .secret_scans import joined, scan_secrets
 from .token_counts import count_tokens
 from .toxicity import fit_toxicity, score_toxicity
-from .url_filters import judge_urls
+from .url_filters import REFERENCES, judge_urls
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,15 +70,31 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def _decoded(value: str) -> str:
+    for written_as, char in REFERENCES:
+        value = "replace({}, '{}', '{}')".format(value, written_as, char.replace("'", "''"))
+    return value
+
+
 OP10_SQL = r"""
 WITH RECURSIVE tags AS (
   SELECT url, unnest(regexp_extract_all(html, '<(?:link|meta)\b[^>]*>', 0, 'is')) AS tag FROM pages
   WHERE contains(url, '://') AND regexp_matches(html, '<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b', 'is')),
-edges AS (
-  SELECT url AS u, replace(CASE
-    WHEN regexp_matches(tag, '^<link\b.*\brel\s*=\s*["'']?canonical\b', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
-    WHEN regexp_matches(tag, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b', 'is') THEN regexp_extract(tag, '\burl\s*=\s*["'']?([^"''\s>;]+)', 1, 'is') END, '&amp;', '&') AS v FROM tags),
-near AS (SELECT u, v FROM edges WHERE contains(v, '://') AND u <> v UNION SELECT v, u FROM edges WHERE contains(v, '://') AND u <> v),
+stated AS (
+  SELECT url AS u, CASE
+    WHEN regexp_matches(tag, '^<link\b.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|''(?:[^'']*\s)?canonical(?:\s[^'']*)?''|canonical(?:[\s/>]))', 'is') THEN regexp_extract(tag, '\bhref\s*=\s*["'']?([^"''\s>]+)', 1, 'is')
+    WHEN regexp_matches(tag, '^<meta\b.*\bhttp-equiv\s*=\s*["'']?refresh\b', 'is') THEN regexp_extract(tag, '\burl\s*=\s*["'']?([^"''\s>;]+(?:;[^"''\s>]+)*)', 1, 'is') END AS t FROM tags),
+named AS (SELECT u, DECODED AS t FROM stated WHERE t IS NOT NULL),
+parts AS (SELECT u, t, regexp_extract(u, '^(.*?://[^/?#]*)', 1, 's') AS origin, string_split(regexp_extract(u, '^.*?://[^/?#]*((?:/[^?#/]*)*)/', 1, 's'), '/') AS folder,
+  regexp_extract(t, '^((?:\.{1,2}/)*)', 1) AS lead FROM named),
+edges AS (SELECT u, CASE
+    WHEN regexp_matches(t, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN CASE WHEN contains(t, '://') THEN t END
+    WHEN starts_with(t, '//') THEN regexp_extract(u, '^(.*?:)//', 1, 's') || t
+    WHEN starts_with(t, '/') THEN origin || t
+    WHEN starts_with(t, '?') THEN regexp_extract(u, '^([^?#]*)', 1, 's') || t
+    WHEN starts_with(t, '#') OR t = '' THEN NULL
+    ELSE origin || array_to_string(folder[1:greatest(1, len(folder) - (length(lead) - length(replace(lead, '../', ''))) // 3)], '/') || '/' || substr(t, length(lead) + 1) END AS v FROM parts),
+near AS (SELECT u, v FROM edges WHERE u <> v UNION SELECT v, u FROM edges WHERE u <> v),
 reach(node, root) AS (SELECT u, u FROM near UNION SELECT n.v, r.root FROM reach r JOIN near n ON n.u = r.node),
 class AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
 names AS (SELECT url FROM pages UNION SELECT node FROM class),
@@ -91,7 +107,7 @@ verdicts AS (SELECT root, bool_or(b.allow) AS allowed, count(b) AS n FROM class
 SELECT p.page_id, b.host, b.path, b.b.rule AS rule,
   CASE WHEN coalesce(b.b.allow, v.allowed OR v.n = 0, true) THEN 'allow' ELSE 'block' END AS verdict
 FROM pages p JOIN best b ON b.url IS NOT DISTINCT FROM p.url LEFT JOIN class c ON c.node = p.url LEFT JOIN verdicts v ON v.root = c.root
-"""
+""".replace("DECODED", _decoded("t"))
 
 
 OP5_SQL = r"""

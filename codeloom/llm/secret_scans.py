@@ -2,11 +2,12 @@
 
 Base kinds are found by their patterns. The method adds spans: runs of 20 or more token characters outside base spans get an
 inferred encoding and three tests of the hypothesis that they are uniform in its alphabet (chi-squared over the alphabet,
-runs about the median symbol, serial correlation at lag 1), combined by Fisher's method; a run that these reject isn't
-random. The others are tested against the hypothesis of ordinary text, in which neighbouring characters mostly keep their
-class: one over the likelihood ratio is a p-value by Markov's inequality. It falls with length, so false discoveries are
-controlled within length bands: counts of p-values by band and bin over all documents give each band's
-Benjamini-Hochberg threshold.
+runs about the median symbol, serial correlation at lag 1), combined by Fisher's method to one p-value. They are also tested against the
+hypothesis of ordinary text, in which neighbouring characters mostly keep their class: one over the likelihood ratio is a
+p-value by Markov's inequality. Both p-values depend on length, so discoveries are controlled within length bands, in two steps, each a
+Benjamini-Hochberg threshold from counts over all documents by band and bin: first the runs that the battery finds not uniform, of
+which at most the part LOST may be random, are set aside; then, among all runs of the band, the
+others that aren't ordinary text are taken, of which at most the part `rate` may be.
 
 Cases: a null or empty text has no spans; very long texts are scanned whole; equal rows each give a row; an empty table gives an
 empty result; only the id and text columns are read. Overlaps: base kinds may overlap one another; added spans never
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +35,8 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 RUN, SHORTEST = re.compile("[A-Za-z0-9+/_=-]{20,}"), 20
 BANDS = (20, 28, 40, 64)
 BIN, BINS = 0.25, 200
-#: Ordinary text: a character keeps its neighbour's class with STAY. At this Fisher p-value a run counts as not uniform.
-STAY, NOT_UNIFORM = 0.93, 1e-3
+#: Ordinary text: a character keeps its neighbour's class with STAY. Of the runs that count as not uniform, the part that may be random.
+STAY, LOST = 0.93, 1e-3
 CLASS = {c: k for k, s in enumerate(("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "+/_=-")) for c in s}
 CLASS_SIZE = (26, 26, 10, 5)
 ALPHABETS = ("0123456789", "0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789abcdefghijklmnopqrstuvwxyz", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
@@ -100,17 +102,17 @@ def band_of(n: int) -> int:
     return sum(n >= b for b in BANDS) - 1
 
 
-def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start, end, band, bin) of runs outside base spans that the battery lets pass."""
+def _bin(p10: float) -> int:
+    return 0 if p10 < BIN else min(BINS - 1, int(p10 / BIN))
+
+
+def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
+    """(start, end, band, bin, fit) of runs outside base spans: bins of the p-values against ordinary text and against uniformity."""
     out = []
     for m in RUN.finditer(text):
         if any(s < m.end() and m.start() < e for s, _, e in base):
             continue
-        s = surprise(m[0])
-        p = 0 if s < BIN else min(BINS - 1, int(s / BIN))
-        if p and battery(m[0]) < NOT_UNIFORM:
-            p = 0
-        out.append((m.start(), m.end(), band_of(m.end() - m.start()), p))
+        out.append((m.start(), m.end(), band_of(m.end() - m.start()), _bin(surprise(m[0])), _bin(-math.log10(max(battery(m[0]), 1e-300)))))
     return out
 
 
@@ -135,9 +137,9 @@ def _scan(batches):
             for text, runs in zip(part.column(1).to_pylist(), _with_runs(part.column(1))):
                 base = base_spans(text or "", bool(runs))
                 bases.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                tries.append([{"start": s, "end": e, "band": b, "bin": p} for s, e, b, p in (candidates(text or "", base) if runs else [])])
+                tries.append([{"start": s, "end": e, "band": b, "bin": p, "fit": f} for s, e, b, p, f in (candidates(text or "", base) if runs else [])])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
-            other = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32())]))
+            other = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("band", pa.int32()), ("bin", pa.int32()), ("fit", pa.int32())]))
             yield pa.record_batch([part.column(0), part.column(2), pa.array(bases, kind), pa.array(tries, other)], ["id", "text_hash", "base", "tries"])
 
 
@@ -161,11 +163,19 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     ship(spark)
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
-    shape = f"id {kind}, text_hash long, base array<struct<start:int,kind:int,end:int>>, tries array<struct<start:int,end:int,band:int,bin:int>>"
+    shape = f"id {kind}, text_hash long, base array<struct<start:int,kind:int,end:int>>, tries array<struct<start:int,end:int,band:int,bin:int,fit:int>>"
     seen = written(slim.mapInArrow(_scan, shape), "secrets")
-    counted = seen.select(F.explode("tries").alias("t")).groupBy("t.band", "t.bin").count().collect()  # at most bands x bins rows
-    least = thresholds({(r["band"], r["bin"]): r["count"] for r in counted}, rate)
-    taken = F.filter("tries", lambda t: t["bin"] >= F.element_at(F.array(*map(F.lit, least)), t["band"] + 1))
+    counted = seen.select(F.explode("tries").alias("t")).groupBy("t.band", "t.bin", "t.fit").count().collect()  # at most bands x bins x bins rows
+    fit: Counter = Counter()
+    for r in counted:
+        fit[r["band"], r["fit"]] += r["count"]
+    most = thresholds(fit, LOST)
+    plain: Counter = Counter()  # what isn't uniform counts as ordinary text
+    for r in counted:
+        plain[r["band"], r["bin"] if r["fit"] < most[r["band"]] else 0] += r["count"]
+    least = thresholds(plain, rate)
+    of_band = lambda t, values: F.element_at(F.array(*map(F.lit, values)), t["band"] + 1)
+    taken = F.filter("tries", lambda t: (t["bin"] >= of_band(t, least)) & (t["fit"] < of_band(t, most)))
     added = F.transform(taken, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return seen.select(F.col("id").alias(id_col), "text_hash", "base", F.array_sort(F.concat("base", added)).alias("spans"))
 

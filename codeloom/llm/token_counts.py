@@ -1,11 +1,13 @@
 """Operator 8: token counts.
 
 Every text is cut at spaces and line feeds. Such a cut is safe for a tokenizer whose pre-tokenizer drops white
-space: no token, special string, composition or case rule reaches across it. The distinct segments of a batch
-that the worker doesn't know yet are encoded together, in batches of about equal bytes; only lengths return.
+space: no token, special string, composition or case rule reaches across it. A segment longer than SEGMENT is cut further, where
+CJK punctuation meets an ideograph: there a run of the pre-tokenizer ends, and ideographs neither compose with what is before them nor
+have case. The distinct segments of a batch that the worker doesn't know yet are encoded together, in batches of about equal
+bytes; only lengths return.
 
 Cases: a null or empty text has 0 bytes and 0 tokens; very long texts are cut like all others (a segment
-without any space is encoded whole); repeated rows give repeated rows; an empty table gives an empty result; only
+without any safe cut is encoded whole); repeated rows give repeated rows; an empty table gives an empty result; only
 the id and text columns are read, so other columns can't clash.
 """
 
@@ -13,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +28,8 @@ from .common import pieces
 _LOADED: dict[str, tuple] = {}
 #: Known segments a worker keeps; beyond it starts anew. A segment of more characters isn't kept.
 KNOWN, LONG = 400_000, 64
+#: Characters from which a segment is cut further, and the cuts.
+SEGMENT, SAFE = 30_000, re.compile("(?<=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f])(?=[\u4e00-\u9fff])")
 
 
 def _tokenizer(key: str, data: str):
@@ -40,9 +45,19 @@ def _tokenizer(key: str, data: str):
     return _LOADED[key]
 
 
+def _parts(segment: str) -> list[str]:
+    """Of about SEGMENT characters each, cut where that is safe."""
+    out, at = [], 0
+    while len(segment) - at > SEGMENT and (m := SAFE.search(segment, at + SEGMENT)):
+        out.append(segment[at : m.start()])
+        at = m.start()
+    return [*out, segment[at:]]
+
+
 def lengths(tok, known: dict[str, int], texts: list[str | None], batch_bytes: int = 200_000) -> np.ndarray:
     """Token counts of texts; known is filled."""
     cut = [(t or "").replace("\n", " ").split(" ") for t in texts]
+    cut = [[part for s in segments for part in _parts(s)] if max(map(len, segments)) > SEGMENT else segments for segments in cut]
     new: set[str] = set()
     for segments in cut:
         new.update(segments)
@@ -52,7 +67,7 @@ def lengths(tok, known: dict[str, int], texts: list[str | None], batch_bytes: in
     while at < len(new):
         end, size = at, 0
         while end < len(new) and (size < batch_bytes or end == at):
-            size += len(new[end])
+            size += len(new[end]) if new[end].isascii() else len(new[end].encode())
             end += 1
         for s, e in zip(new[at:end], tok.encode_batch_fast(new[at:end], add_special_tokens=False)):
             (known if len(s) <= LONG else extra)[s] = len(e)

@@ -100,6 +100,9 @@ class Network:
         self.keys = np.concatenate([np.zeros(1, np.uint64), keys])
         self.slot = np.zeros(SLOTS, np.int32)
         self.slot[(keys % np.uint64(SLOTS)).astype(np.int64)] = np.arange(1, len(self.keys))
+        at = self.slot[(keys % np.uint64(SLOTS)).astype(np.int64)]
+        self.pushed = np.flatnonzero(at != np.arange(1, len(self.keys))) + 1  # rows whose slot a later key has
+        self.pushed = self.pushed[np.argsort(self.keys[self.pushed])]
         self.p = {"E": rng.normal(0, 0.1, (len(self.keys), DIM)), "out": np.full(len(WIDTHS) * FILTERS * TOP, 0.3), "bias": np.array([-2.0])}
         for w in WIDTHS:
             self.p[f"W{w}"] = rng.normal(0, 0.3, (w, DIM, FILTERS))
@@ -109,7 +112,12 @@ class Network:
 
     def rows(self, fields: np.ndarray) -> np.ndarray:
         row = self.slot[(fields % np.uint64(SLOTS)).astype(np.int64)]
-        return np.where(self.keys[row] == fields, row, 0)
+        out = np.where(self.keys[row] == fields, row, 0)
+        if len(self.pushed):
+            other = (row > 0) & (out == 0)
+            found = self.pushed[np.minimum(np.searchsorted(self.keys[self.pushed], fields[other]), len(self.pushed) - 1)]
+            out[other] = np.where(self.keys[found] == fields[other], found, 0)
+        return out
 
     def windows(self, row: np.ndarray, w: int) -> np.ndarray:
         """(windows, w, FIELDS) rows of all windows of one text with an informative word, then an empty one."""

@@ -7,8 +7,9 @@ components make classes. In a class, an explicit allow outranks every block, a b
 a class that no rule touches is allowed.
 
 Cases: a null url, or one without "://", has empty host and path, fits no rule and joins no class, so it is allowed;
-null or empty html has no edges; equal urls are one node; an empty table gives an empty result; only the id, url
-and html columns are read.
+null or empty html has no edges; very long html is searched whole; equal rows each give a row and equal urls are one node; relative
+links follow the page's url (a base element isn't read, and dot segments count where a link begins with them); an empty table gives an
+empty result; only the id, url and html columns are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -31,16 +32,43 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+#: Character references of urls that are decoded, the ampersand's own last.
+REFERENCES = (("&quot;", '"'), ("&#34;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#x27;", "'"), ("&lt;", "<"), ("&#60;", "<"), ("&gt;", ">"), ("&#62;", ">"), ("&#47;", "/"), ("&#x2f;", "/"), ("&#x2F;", "/"), ("&#58;", ":"), ("&#x3a;", ":"), ("&#x3A;", ":"), ("&#38;", "&"), ("&#x26;", "&"), ("&amp;", "&"))
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """An absolute url of a link on a page, by the base's scheme, host, or folder; leading dot segments climb. Null for links to a place
+    in the same page, and for those whose scheme has no host."""
+    origin, whole = F.regexp_extract(base, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(base, r"(?s)^([^?#]*)", 1)
+    folder = F.split(F.regexp_extract(base, r"(?s)^.*?://[^/?#]*((?:/[^?#/]*)*)/", 1), "/")
+    lead = F.regexp_extract(to, r"^((?:\.{1,2}/)*)", 1)
+    up = ((F.length(lead) - F.length(F.replace(lead, F.lit("../"), F.lit("")))) / 3).cast("int")
+    kept = F.array_join(F.slice(folder, F.lit(1), F.greatest(F.lit(1), F.size(folder) - up)), "/")
+    rest = F.substr(to, F.length(lead) + 1, F.length(to))
+    return (
+        F.when(to.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), F.when(to.contains("://"), to))
+        .when(to.startswith("//"), F.concat(F.regexp_extract(base, r"(?s)^(.*?:)//", 1), to))
+        .when(to.startswith("/"), F.concat(origin, to))
+        .when(to.startswith("?"), F.concat(whole, to))
+        .when(to.startswith("#") | (to == ""), F.lit(None))
+        .otherwise(F.concat(origin, kept, F.lit("/"), rest))
+    )
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(u, v) urls: canonical links and refresh redirects that a page states in its html, absolute urls only."""
+    """(u, v) urls: canonical links and refresh redirects that a page states in its html."""
     html = F.col("html")
     tags = F.expr(r"regexp_extract_all(html, '(?is)<(?:link|meta)\\b[^>]*>', 0)")
     some = pages.where(F.col("url").contains("://") & html.rlike(r"(?is)<link\b[^>]*\bcanonical\b|<meta\b[^>]*\brefresh\b"))
     tag = some.select("url", F.explode(tags).alias("tag"))
-    canonical = F.when(F.col("tag").rlike(r"(?is)^<link\b.*\brel\s*=\s*[\"']?canonical\b"), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    to = F.replace(F.coalesce(canonical, refresh), F.lit("&amp;"), F.lit("&"))
-    return tag.select(F.col("url").alias("u"), to.alias("v")).where(F.col("v").contains("://"))
+    rel = r"""(?is)^<link\b.*\brel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical(?:[\s/>]))"""
+    canonical = F.when(F.col("tag").rlike(rel), F.regexp_extract("tag", r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
+    refresh = F.when(F.col("tag").rlike(r"(?is)^<meta\b.*\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?is)\burl\s*=\s*[\"']?([^\"'\s>;]+(?:;[^\"'\s>]+)*)", 1))
+    to = F.coalesce(canonical, refresh)
+    for written_as, char in REFERENCES:
+        to = F.replace(to, F.lit(written_as), F.lit(char))
+    found = tag.select("url", to.alias("to")).where("to is not null")
+    return found.select(F.col("url").alias("u"), resolved(F.col("url"), F.col("to")).alias("v")).where("v is not null and u != v")
 
 
 def host_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:

@@ -314,6 +314,22 @@ def test_spans_and_extensions():
     assert P.fingerprint("") == P.fingerprint("") and P.likeness(P.fingerprint(""), P.fingerprint("a")) == 0
 
 
+def test_likeness_has_no_border_in_length():
+    r = random.Random(12)
+    text = "".join(r.choice("abcdefghij ") for _ in range(200))
+    before = 0.0
+    for n in range(2, 200):
+        near = P.likeness(P.fingerprint(text[:n]), P.fingerprint(text[: n - 1]))
+        assert near > 0 and near >= before - 0.2 and (n < 30 or near > 0.6)
+        before = near
+    plain = lambda t: {(chr(0x10FFFF) * 11 + t + chr(0x10FFFF) * 11)[k : k + 12] for k in range(len(t) + 11)}
+    for n in (1, 2, 5, 12, 18):  # so few spans are all in the sketch
+        a, b = text[:n], text[n // 2 : n // 2 + n]
+        both = plain(a) & plain(b)
+        assert np.isclose(P.likeness(P.fingerprint(a), P.fingerprint(b)), 2 * len(both) / (len(plain(a)) + len(plain(b))), atol=0.1 if n > 14 else 1e-9)
+        assert len(np.unique(P.grams(P.prefix(P.codes(a))))) == len(plain(a))
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = P.compare_with_next(odd).collect()
     assert len(rows) == odd.count() and all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in rows)
@@ -362,6 +378,47 @@ def test_training_takes_no_held_out_row(spark, sf001):
     assert 0 < len(got) <= 20 and not any(held(r["id"]) for r in got)
 
 
+def test_ids_that_stand_many_times_count_once(spark):
+    from codeloom.llm.labelled import sample
+
+    docs = spark.createDataFrame([(k % 4, f"text {k % 4} {k % 3}") for k in range(10_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(4)], "doc_id long, quality int")
+    got = sample(docs, labels, "quality", "doc_id", "text", 23).collect()
+    assert sorted(r["id"] for r in got) == [k for k in range(4) if not held(k)] and all(r["text"].startswith(f"text {r['id']} ") for r in got)
+
+
+def test_network_equals_a_plain_forward_pass(spark, sf001):
+    """Embeddings, convolutions, k-max pooling and the score, word by word."""
+    import pyarrow as pa
+
+    docs, labels = (spark.read.parquet(f"{sf001}/{n}.parquet") for n in ("documents", "labels"))
+    net = toxicity.fit_toxicity(docs, labels)
+    texts = [r["text"] for r in docs.limit(25).collect()] + ["", "one"]
+    raw, offsets = toxicity.lowered(pa.array(texts))
+    fields, at = toxicity.word_fields(raw, offsets)
+    lang, p = toxicity.languages(fields[:, 0], at), net.p
+    row_of = {int(k): i for i, k in enumerate(net.keys.tolist()) if i}
+    got = net.score(raw, offsets)
+    for k in range(len(texts)):
+        none = [0] * toxicity.FIELDS
+        rows = [[row_of.get(int(f), 0) for f in word] for word in fields[at[k] : at[k + 1]]]
+        total = p["bias"][0]
+        for c, w in enumerate(toxicity.WIDTHS):
+            line = [none] * w + rows + [none] * w
+            windows = [line[i : i + w] for i in range(len(line) - w + 1)]
+            windows = [x for x in windows if any(map(any, x))] + [[none] * w]
+            response = [np.maximum(0, sum(sum(p["E"][r] for r in x[j]) @ p[f"W{w}"][j] for j in range(w)) + p[f"b{w}"]) for x in windows]
+            response += [response[-1]] * max(0, toxicity.TOP - len(response))
+            best = [sorted((r[f] for r in response), reverse=True)[: toxicity.TOP] for f in range(toxicity.FILTERS)]
+            weights = p["out"].reshape(len(toxicity.WIDTHS), toxicity.TOP, toxicity.FILTERS)[c]
+            total += sum(best[f][t] * weights[t, f] for f in range(toxicity.FILTERS) for t in range(toxicity.TOP))
+        assert np.isclose(got[k], 1 / (1 + np.exp(-np.clip(total - net.cut[lang[k]] + np.log(0.7 / 0.3), -30, 30))))
+    # Keys that share a slot are all found.
+    keys = np.array([5, 5 + toxicity.SLOTS, 5 + 2 * toxicity.SLOTS, 9], np.uint64)
+    small = toxicity.Network(keys)
+    assert small.rows(np.array([*keys.tolist(), 5 + 3 * toxicity.SLOTS, 7], np.uint64)).tolist() == [1, 2, 3, 4, 0, 0]
+
+
 def test_factorisation_identity():
     r = np.random.default_rng(2)
     m = quality.Machine(0.3, r.normal(size=quality.BUCKETS + quality.STATS), r.normal(size=(quality.BUCKETS + quality.STATS, quality.RANK)), np.zeros(quality.STATS), np.ones(quality.STATS))

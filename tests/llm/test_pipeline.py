@@ -85,6 +85,21 @@ def test_tokens_equal_the_library(stages):
 def test_odd_and_empty_tables(spark, odd):
     docs = odd.select("doc_id", "text", "lang", "source", "n_chars")
     for table in (docs, docs.where("false")):
-        for _, f in C.STAGES[1:]:
+        for _, f in C.STAGES:
             assert f(spark, table, SF).count() <= table.count()
         assert C.quality(spark, docs, SF).columns == docs.columns
+
+
+def test_rows_of_one_id_null_ids_and_repeated_rows(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()["text"]
+    one, two = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, one, "en", "s", 1), (1, one, "en", "s", 1), (1, one, "de", "s", 1), (1, item, "en", "s", 2), (None, two, "en", "s", 3), (None, item, "en", "s", 3), (5, two, "en", "s", 3), (6, "", "en", "s", 0), (6, "", "en", "s", 0), (7, None, None, None, None)]
+    rows += [(10, two + " tail of words", "x", "s", 9)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    got = sorted((tuple(r) for r in C.near_duplicates(spark, docs, SF).collect()), key=repr)
+    item_row = (1, item, "en", "s", 2)
+    assert got == sorted([(1, one, "de", "s", 1), item_row, (5, two, "en", "s", 3), (6, "", "en", "s", 0), (7, None, None, None, None)], key=repr)
+    clean = [tuple(r) for r in C.decontamination(spark, docs, SF).collect()]
+    assert sorted(clean, key=repr) == sorted((r for r in rows if r[1] != item), key=repr)
+    wide = spark.createDataFrame([(1, "token = abcdef123", "en", "s", 17, "spans")], "doc_id long, text string, lang string, source string, n_chars long, spans string")
+    assert [tuple(r) for r in C.secrets(spark, wide, SF).collect()] == [(1, "[assign]", "en", "s", 8, "spans")]

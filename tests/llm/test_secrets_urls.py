@@ -49,6 +49,28 @@ def test_the_battery_adds_random_runs_and_leaves_words(spark):
     assert got == {0: [(4, 3, 44)], 1: [], 2: [], 3: []}
 
 
+def test_recall_and_precision_on_planted_keys(spark, sf001):
+    """Random keys of several encodings and lengths among whole documents, and runs that aren't random."""
+    rng, hexes = random.Random(21), "0123456789ABCDEF"
+    kinds = [string.ascii_letters + string.digits, string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_", hexes, string.ascii_uppercase + "234567"]
+    words = "configuration transformation international responsibility Documentation Understanding characteristics".split()
+    rows, keys, other = [], set(), set()
+    for k in range(400):
+        key = "".join(rng.choice(kinds[k % 5]) for _ in range(rng.choice([24, 32, 40, 48, 64])))
+        keys.add(key)
+        rows.append((10**6 + k, f"the value {key} stands here"))
+        run = rng.choice(["_".join(rng.choices(words, k=3)), "".join(rng.choices(words, k=3)), rng.choice("=-_") * rng.randrange(20, 80), "ab1" * rng.randrange(8, 20), "/usr/share/documentation/" + rng.choice(words)])
+        other.add(run)
+        rows.append((2 * 10**6 + k, f"the name {run} stands here"))
+    docs = spark.read.parquet(f"{sf001}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(rows, "doc_id long, text string"))
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    found = {r["doc_id"]: {text[r["doc_id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3} for r in S.scan_secrets(docs).collect()}
+    planted = [key for k, t in rows if k < 2 * 10**6 for key in keys if f" {key} " in t and not brute(t)]
+    caught = sum(key in found[k] for k, t in rows if k < 2 * 10**6 for key in [t.split()[2]] if not brute(t))
+    wrong = sum(bool(found[k]) for k, _ in rows if k >= 2 * 10**6)
+    assert caught >= 0.9 * len(planted) and wrong <= 0.03 * 400, (caught, len(planted), wrong)
+
+
 def test_thresholds_are_benjamini_hochberg():
     counts = {(0, 0): 90, (0, 10): 5, (0, 20): 5}
     # 10 of 100 have p <= 10**-2.5: rejected at rate 0.05 (0.0032 <= 0.005), only the other 5 (p = 10**-5) at 0.01
@@ -72,6 +94,14 @@ PAGES = [
     (12, "http://example.com/de/1?a://b", ""),
     (13, "http://notexample.com/de/1", ""),
     (14, "http://İ.org/fr/", ""),
+    (15, "http://example.com/a/b/page?q#f", "<link rel='alternate canonical' href='../../de/x'>"),
+    (16, "http://r.example.org/s/t", '<link rel=canonical href="//m.example.com/de/y?a=1&#38;b=2&amp;lt;">'),
+    (17, "http://m.example.com/de/y?a=1&b=2&lt;", ""),
+    (18, "http://n.example.com", '<meta http-equiv="refresh" content="0; url=./de/z">'),
+    (19, "http://example.com/de/", '<link rel="canonical" href="?page=2"><link rel="non-canonical" href="/fr">'),
+    (20, "http://example.com/fr", "<link rel=canonical href=/de/w><link rel=canonical href=mailto:x><link rel=canonical href=#top>"),
+    (21, "http://example.com/u/v", "<link rel='canonical' href='w'>"),
+    (22, "http://example.com/u/w", "<link rel='canonical' href='http://a.example.net/q'>"),
 ]
 
 
@@ -86,6 +116,7 @@ def test_url_filters_equal_sql_and_expectation(spark):
     order = lambda d: sorted(map(repr, d[key].astype(object).where(d[key].notna(), None).values.tolist()))
     assert order(got) == order(want)
     verdict = dict(zip(got.page_id, got.verdict))
+    assert [verdict[i] for i in (15, 16, 17, 18, 19, 20, 21, 22)] == ["block"] * 8
     assert [verdict[i] for i in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 14)] == ["block", "block", "block", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "allow", "block", "allow", "allow"]
     assert judge_urls(pages.where("false"), rules).collect() == []
 

@@ -69,3 +69,22 @@ def test_counts_equal_the_library(spark, odd, sf001):
     assert sorted((repr(r["doc_id"]), r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got.collect()) == sorted((repr(r["doc_id"]), len((r["text"] or "").encode()), count(r["text"]), count(r["text"]) > 2048) for r in odd.collect())
     want = {r["doc_id"]: count(r["text"]) for r in spark.read.parquet(f"{sf001}/documents.parquet").collect()}
     assert {r["doc_id"]: r["n_tokens"] for r in op8_token_counts(spark, sf001).collect()} == want
+
+
+def test_many_repeated_rows_spread_over_blocks(spark):
+    """Copies of one row, flushed in several turns, go to several blocks, and all come back."""
+    text = "the same row again and again " * 20
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string").crossJoin(spark.range(10_000)).select("doc_id", "text").repartition(4)
+    rows = encode_documents(docs, PATH, PATTERN, block_bytes=100_000).groupBy("doc_id", "ids").count().collect()
+    assert [(r["doc_id"], list(r["ids"]), r["count"]) for r in rows] == [(1, library().encode_ordinary(text), 10_000)]
+
+
+def test_long_segments_are_cut_where_it_is_safe(spark):
+    from codeloom.llm import token_counts
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    text = "\u6f22\u5b57\u3002\u4eee\u540d\uff0c\uff01\u4e00\u0301x1<|endoftext|>\u3001\u3099\u03a3\u3002\u4e8c" * 3000
+    assert len(token_counts._parts(text)) > 1 and "".join(token_counts._parts(text)) == text
+    rows = spark.createDataFrame([(1, text), (2, "x" * 50_000 + "\u3002" + "y" * 50_000)], "doc_id long, text string")
+    got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(rows, public_tokenizers.path("word_bpe_49k.json")).collect()}
+    assert got[1] == len(tok.encode(text, add_special_tokens=False)) and got[2] > 0
