@@ -26,9 +26,15 @@ def local_session(cores: str = "*", partitions: int = 8) -> SparkSession:
     )
 
 
+#: Bytes of an Arrow batch, unless the application sets them: Spark's 64 MB are held several times on both sides of each Python worker.
+ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
 def ship(spark: SparkSession) -> None:
-    """Give the Python workers this package, once per application, by Spark's own file server."""
+    """Give the Python workers this package, once per application, by Spark's own file server; and bound Arrow batches."""
     sc = spark.sparkContext
+    if not sc.getConf().contains(ARROW_BYTES[0]):
+        spark.conf.set(*ARROW_BYTES)
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
