@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, task_count
-from .common import mixed, pieces
+from .common import lean, mixed, pieces
 
 BLOCK_BYTES = 6_000_000
 _LOADED: dict[str, tuple] = {}
@@ -171,7 +171,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
     blocks = max(1, -(-total // block_bytes), min(tasks, -(-total // 1_000_000)))
     buckets = int(blocks)
     dealt = slim.select(F.xxhash64("id", "text").alias("block"), F.lit(blocks).alias("blocks"), "id", "text")
-    packed = dealt.mapInArrow(_pack, "block int, payload binary").repartition(max(tasks, 1), "block")
+    packed = dealt.mapInArrow(lean(_pack), "block int, payload binary").repartition(max(tasks, 1), "block")
 
     def ask(rows: pa.Table) -> pa.Table:
         block = rows.column("block")[0].as_py()
@@ -274,4 +274,4 @@ def decode_ids(tokens: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
     slim = tokens.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     shape = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else f"id {kind}, decoded binary"
-    return slim.mapInArrow(run, shape).withColumnRenamed("id", id_col)
+    return slim.mapInArrow(lean(run), shape).withColumnRenamed("id", id_col)

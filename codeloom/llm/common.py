@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +45,18 @@ def pieces(batch: pa.RecordBatch, column: str, most: int = 2_000_000):
         at = end
 
 
+def lean(run):
+    """A function for mapInArrow that gives the worker's freed memory back to the system when its partition ends; idle workers live on."""
+
+    def outer(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return outer
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """Finalise 64-bit hashes: every input bit reaches every output bit."""
     h = h ^ (h >> np.uint64(33))
@@ -93,7 +107,7 @@ def hashed_words(raw: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = BLANKS
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     out = np.empty(len(starts), np.uint64)
     values = LOWER[raw]
-    at, step = 0, 1 << 20
+    at, step = 0, 1 << 18
     while at < len(starts):
         lo = starts[at]
         to = max(at + 1, int(np.searchsorted(ends, lo + step, side="right")))

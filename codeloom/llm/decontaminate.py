@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .common import MARKS, hashed_words, mixed, pieces, strings
+from .common import MARKS, hashed_words, lean, mixed, pieces, strings
 
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 5, 6, 7), (0, 1, 6, 8, 9))
 #: The mask of short items; its number is len(MASKS).
@@ -168,13 +168,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     sent = spark.sparkContext.broadcast(bits)
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     shape = f"id {kind}, start long, words array<long>, hashes array<long>, places array<int>"
-    regions = slim.mapInArrow(_regions(sent, masks), shape).withColumn("region", F.xxhash64("id", "start", "words"))
+    regions = slim.mapInArrow(lean(_regions(sent, masks)), shape).withColumn("region", F.xxhash64("id", "start", "words"))
     regions = written(regions, "regions")
     hits = regions.select("region", F.explode(F.arrays_zip("hashes", "places")).alias("z")).select("region", F.col("z.hashes").alias("hash"), F.col("z.places").alias("place"))
     shifts = hits.join(tests, "hash").select("region", "item", (F.col("place") - F.col("item_at")).alias("shift")).distinct()
     tried = shifts.groupBy("region", "item").agg(F.collect_list("shift").alias("shifts"))  # a region's words bound these
     words = items.mapInArrow(_item_words, f"item {item_kind}, item_words array<long>")
     both = tried.join(regions.select("region", "id", "start", "words").dropDuplicates(["region", "id"]), "region").join(words, "item")
-    found = both.select("id", "item", "words", "item_words", "shifts", "start").mapInArrow(_verify, f"id {kind}, item {item_kind}, first_word long, n_words long, n_equal long")
+    found = both.select("id", "item", "words", "item_words", "shifts", "start").mapInArrow(lean(_verify), f"id {kind}, item {item_kind}, first_word long, n_words long, n_equal long")
     best = F.max(F.struct("n_equal", "n_words", (-F.col("first_word")).alias("before"))).alias("best")
     return found.groupBy("id", "item").agg(best).select(F.col("id").alias(id_col), F.col("item").alias(item_col), (-F.col("best.before")).alias("first_word"), "best.n_words", "best.n_equal")

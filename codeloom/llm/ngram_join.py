@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import discard, ship, task_count, written
-from .common import BLANKS, hashed_words, mixed, pieces, strings
+from .common import BLANKS, hashed_words, lean, mixed, pieces, strings
 from .components import components
 
 #: Of the first two orders: the region's part of all shingles, as a multiple of 1 - share. A multiple of 1 would just hold a prefix.
@@ -119,7 +119,7 @@ def _classes(size: int):
                 keys = set_keys(sets)
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(keys[:, 0].astype(np.int64)), _binary(keys), pa.array([len(s) for s in sets], pa.int64())], ["id", "r", "h", "key", "n"])
 
-    return run
+    return lean(run)
 
 
 def _new(sets: list[np.ndarray], seen: set[int]) -> tuple[list[int], np.ndarray]:
@@ -145,7 +145,7 @@ def _dealt(size: int, share: int):
                 if new:
                     yield _tokens([sets[k] for k in new], keys[new, 0].astype(np.int64), 0, share)
 
-    return run
+    return lean(run)
 
 
 def _texts(size: int):
@@ -162,7 +162,7 @@ def _texts(size: int):
                     texts = [z.compress(part.column(0)[k].as_buffer()) for k in new]
                     yield pa.record_batch([pa.array(keys[new, 0].astype(np.int64)), _binary(keys[new]), pa.array([len(sets[k]) for k in new], pa.int64()), pa.array(texts, pa.binary())], ["h", "key", "n", "z"])
 
-    return run
+    return lean(run)
 
 
 def _unpacked(z: pa.Array, size: int) -> list[np.ndarray]:
@@ -177,7 +177,7 @@ def _dealt_again(size: int, share: int):
                 rows = batch.slice(at, 256)
                 yield _tokens(_unpacked(rows.column(2), size), rows.column(1).to_numpy(), 1, share, rows.column(0).to_numpy())
 
-    return run
+    return lean(run)
 
 
 def _counted(batches):
@@ -222,7 +222,7 @@ def neighbourhoods(rows: DataFrame, twins: DataFrame, share: int) -> DataFrame:
     A class's tokens that no other class has come first in its prefix: s less the shared ones. Where s is no more than the prefix, all
     of its rows are in it. In a token's group sorted by size, neighbours whose sizes can't link part the group."""
     tasks = max(1, task_count(rows.sparkSession))
-    shared = rows.repartition(tasks, "token").sortWithinPartitions("token", "h").mapInArrow(_counted, TOKENS + ", df int")
+    shared = rows.repartition(tasks, "token").sortWithinPartitions("token", "h").mapInArrow(lean(_counted), TOKENS + ", df int")
     mine = Window.partitionBy("h")
     need = F.expr(f"n - (cast({share} as long) * n + 99) div 100 + 1")
     ranked = shared.repartition(tasks, "h").select("token", "h", "n", "s", F.row_number().over(mine.orderBy("df", "token")).alias("k"), F.count(F.lit(1)).over(mine).alias("m"))
@@ -309,7 +309,7 @@ def _cells(size: int, share: int):
         if held:
             yield links(pa.Table.from_batches(held))
 
-    return run
+    return lean(run)
 
 
 def _compared(rows: DataFrame, size: int, share: int) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import MARKS, crc_part, hashed_words, pieces, strings
+from .common import MARKS, crc_part, hashed_words, lean, pieces, strings
 from .labelled import sample
 
 BUCKETS, RANK = 1 << 15, 8
@@ -144,7 +144,7 @@ def _extract(batches):
 def fit_quality(docs: DataFrame, labels: DataFrame, target: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = 3000) -> Machine | None:
     ship(docs.sparkSession)
     rows = sample(docs, labels, target, id_col, text_col, most).select("id", F.col("label").cast("int").alias("label"), "text")
-    found = rows.mapInArrow(_extract, "label int, bucket array<int>, value array<double>, stats array<double>").toPandas()
+    found = rows.mapInArrow(lean(_extract), "label int, bucket array<int>, value array<double>, stats array<double>").toPandas()
     order = found["value"].map(lambda v: float(np.sum(v)) if len(v) else 0.0).argsort(kind="stable") if len(found) else []
     return train(found.iloc[order].reset_index(drop=True)) if len(found) else None
 
@@ -162,5 +162,5 @@ def score_quality(docs: DataFrame, machine: Machine | None, id_col: str = "doc_i
                 score = sent.value.score(*strings(part.column(1))) if sent.value else np.full(part.num_rows, 0.5)
                 yield pa.record_batch([part.column(0), pa.array(score)], ["id", "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(crc_part(F.col("id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .common import pieces, strings
+from .common import lean, pieces, strings
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS, HEX = re.compile("AKIA[A-Z0-9]+"), re.compile("[0-9a-f]+")
@@ -164,7 +164,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     kind = docs.schema[id_col].dataType.simpleString()
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(text_col)).alias("text_hash"))
     shape = f"id {kind}, text_hash long, base array<struct<start:int,kind:int,end:int>>, tries array<struct<start:int,end:int,band:int,bin:int,fit:int>>"
-    seen = written(slim.mapInArrow(_scan, shape), "secrets")
+    seen = written(slim.mapInArrow(lean(_scan), shape), "secrets")
     counted = seen.select(F.explode("tries").alias("t")).groupBy("t.band", "t.bin", "t.fit").count().collect()  # at most bands x bins x bins rows
     fit: Counter = Counter()
     for r in counted:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship, written
-from .common import MARKS, crc_part, hashed_words, mixed, pieces, strings
+from .common import MARKS, crc_part, hashed_words, lean, mixed, pieces, strings
 from .labelled import sample
 
 PREFIXES = (4, 5, 6, 7)
@@ -282,5 +282,5 @@ def score_toxicity(docs: DataFrame, network: Network | None, id_col: str = "doc_
                 score = sent.value.score(*lowered(part.column(1))) if sent.value else np.zeros(part.num_rows)
                 yield pa.record_batch([part.column(0), pa.array(score)], ["id", "score"])
 
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), F.coalesce(crc_part(F.col("id")) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
