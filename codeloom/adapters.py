@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 #: Fixed instants in place of "now", so results don't change from day to day.
 AS_OF_COMMITS, AS_OF_EVENTS = "2002-01-01", "2024-01-31"
 FIX_SUBJECTS = ("1-URGENT", "2-HIGH")
+MESSAGES = {"1-URGENT": "Hotfix a crash", "2-HIGH": "Fix the total", "3-MEDIUM": "Add a new feature", "4-NOT SPECIFIED": "Refactor and cleanup"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,8 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def commits(spark: SparkSession, d: str) -> DataFrame:
-    """commit_id, author, ts, subject, fix."""
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("subject"), F.col("o_orderpriority").isin(*FIX_SUBJECTS).alias("fix"))
+    """commit_id, author, ts, subject, message, fix."""
+    message = F.coalesce(*(F.when(F.col("o_orderpriority") == k, m) for k, m in MESSAGES.items()), F.lit("Update docs"))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("commit_id"), F.col("o_custkey").alias("author"), F.col("o_orderdate").alias("ts"), F.col("o_orderpriority").alias("subject"), message.alias("message"), F.col("o_orderpriority").isin(*FIX_SUBJECTS).alias("fix"))
 
 
 def numstat(spark: SparkSession, d: str) -> DataFrame:
@@ -32,7 +34,7 @@ def numstat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def changes(spark: SparkSession, d: str) -> DataFrame:
-    """commit_id, author, ts, subject, fix, file, added, deleted."""
+    """commit_id, author, ts, subject, message, fix, file, added, deleted."""
     return numstat(spark, d).join(commits(spark, d), "commit_id")
 
 
@@ -88,7 +90,7 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 PRELUDE = {
-    "commits": "commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, o_orderdate AS ts, o_orderpriority AS subject, o_orderpriority IN ('1-URGENT', '2-HIGH') AS fix FROM orders)",
+    "commits": "commits AS (SELECT o_orderkey AS commit_id, o_custkey AS author, o_orderdate AS ts, o_orderpriority AS subject, CASE o_orderpriority " + " ".join(f"WHEN '{k}' THEN '{m}'" for k, m in MESSAGES.items()) + " ELSE 'Update docs' END AS message, o_orderpriority IN ('1-URGENT', '2-HIGH') AS fix FROM orders)",
     "numstat": "numstat AS (SELECT l_orderkey AS commit_id, p_brand || '/' || p_type || '/' || CAST(p_partkey AS VARCHAR) AS file, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS added, CAST(sum(CAST(round(100 * l_discount) AS BIGINT)) AS BIGINT) AS deleted FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey, p_partkey, p_brand, p_type)",
     "changes": "changes AS (SELECT c.*, n.file, n.added, n.deleted FROM numstat n JOIN commits c ON c.commit_id = n.commit_id)",
     "activity": "activity AS (SELECT user_id AS author, ts, event_type AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS file, value FROM events)",

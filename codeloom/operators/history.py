@@ -104,20 +104,36 @@ def author_spans(commits: DataFrame) -> DataFrame:
     return out.select("author", F.date_format("f", "yyyy-MM-dd").alias("first_day"), F.date_format("l", "yyyy-MM-dd").alias("last_day"), "active_days", "commits", F.datediff("l", "f").cast(L).alias("span_days"))
 
 
+def _above(counts: DataFrame, value: str) -> DataFrame:
+    """(value, m, above, sum_above): how many rows have each value, and how many, and what sum, have a greater one. The window runs over the
+    distinct values, whose number grows like the root of their sum at most, not over rows."""
+    w = Window.orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
+    values = counts.groupBy(value).agg(n().alias("m"))
+    zero = F.lit(0).cast(L)
+    return values.select(value, "m", F.coalesce(F.sum("m").over(w), zero).alias("above"), F.coalesce(F.sum(F.col("m") * F.col(value)).over(w), zero).alias("sum_above"))
+
+
+def placed(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """T5: each row's place by a value; equal values share the least."""
+    return counts.join(_above(counts, value).select(value, (F.col("above") + 1).alias(name)), value).select(*counts.columns, name)
+
+
 def ranked(counts: DataFrame, value: str, key: str) -> DataFrame:
-    """Place by value (ties: the greater key first) and percent of the total. counts has a row per author, so the one
-    window's partition is the list of authors, not of commits."""
+    """Place by value (ties: the greater key first) and percent of the total. A row's place is the number of rows of greater values
+    and its place among its equals."""
     total = counts.agg(F.sum(value).alias("total"))
-    place = F.row_number().over(Window.orderBy(F.desc(value), F.desc(key))).cast(L)
-    return counts.select("*", place.alias("place")).join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col(value) / F.col("total"), 4)).drop("total")
+    among = F.row_number().over(Window.partitionBy(value).orderBy(F.desc(key))).cast(L)
+    out = counts.join(_above(counts, value).select(value, "above"), value).select(*counts.columns, (F.col("above") + among).alias("place"))
+    return out.join(F.broadcast(total)).withColumn("percent", F.round(100.0 * F.col(value) / F.col("total"), 4)).drop("total")
 
 
 def bus_factor(counts: DataFrame, value: str = "commits", key: str = "author", share: float = 0.5) -> DataFrame:
-    """The fewest authors that reach the share of all commits."""
-    w = Window.orderBy(F.desc(value), key).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select(F.sum(value).over(w).alias("reached"), F.row_number().over(Window.orderBy(F.desc(value), key)).cast(L).alias("place"))
-    total = counts.agg(F.sum(value).alias("total"), n().alias("authors"))
-    return run.join(F.broadcast(total)).where(F.col("reached") >= share * F.col("total")).groupBy("authors").agg(F.min("place").alias("bus_factor"))
+    """The fewest authors that reach the share of all commits: those of greater values, and as many of the value that crosses it as
+    are needed."""
+    total = counts.agg((share * F.sum(value)).alias("goal"), n().alias("authors"))
+    reached = _above(counts, value).join(F.broadcast(total)).where(F.col("sum_above") + F.col("m") * F.col(value) >= F.col("goal"))
+    needed = F.col("above") + F.greatest(F.lit(1), F.ceil((F.col("goal") - F.col("sum_above")) / F.col(value))).cast(L)
+    return reached.groupBy("authors").agg(F.min(needed).alias("bus_factor"))
 
 
 def daily_totals(changes: DataFrame) -> DataFrame:
@@ -158,15 +174,25 @@ def streaks(rows: DataFrame) -> DataFrame:
     return runs.groupBy("author").agg(F.sum("run").alias("active_days"), F.max("run").alias("longest_streak"), F.round(F.coalesce(F.sum("gaps") / F.sum("ngaps"), F.lit(0.0)), 4).alias("mean_gap"))
 
 
+#: Words that tell a commit's kind.
+FEATURE = ("add", "new", "feature", "implement", "create")
+REFACTOR = ("refactor", "cleanup", "reorganize", "restructure", "optimize")
+
+
+def mentions(message: Column, words: tuple[str, ...]) -> Column:
+    """whether a message holds one of the words, in any case."""
+    return F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(words))
+
+
 def commit_sizes(changes: DataFrame) -> DataFrame:
-    return changes.groupBy("commit_id", "author", "ts", "subject", "fix").agg(F.sum(F.col("added") + F.col("deleted")).alias("size"), n().alias("files"))
+    return changes.groupBy("commit_id", "author", "ts", "message", "fix").agg(F.sum(F.col("added") + F.col("deleted")).alias("size"), n().alias("files"))
 
 
 def commit_patterns(changes: DataFrame) -> DataFrame:
-    """Size classes, frequency, kinds and files per commit of each author. Kinds are given by subject."""
+    """Size classes, frequency, kinds (fixes; features and refactorings by their words) and files per commit of each author."""
     out = commit_sizes(changes).groupBy("author").agg(
         n().alias("commits"), F.round(F.avg("size"), 4).alias("mean_size"), F.sum((F.col("size") < 10).cast(L)).alias("small"), F.sum(((F.col("size") >= 10) & (F.col("size") < 100)).cast(L)).alias("medium"),
-        F.sum((F.col("size") >= 100).cast(L)).alias("large"), F.sum(F.col("fix").cast(L)).alias("fixes"), F.round(F.avg("files"), 4).alias("mean_files"), F.datediff(F.max("ts"), F.min("ts")).alias("span"),
+        F.sum((F.col("size") >= 100).cast(L)).alias("large"), F.sum(F.col("fix").cast(L)).alias("fixes"), F.sum(mentions(F.col("message"), FEATURE).cast(L)).alias("features"), F.sum(mentions(F.col("message"), REFACTOR).cast(L)).alias("refactorings"), F.round(F.avg("files"), 4).alias("mean_files"), F.datediff(F.max("ts"), F.min("ts")).alias("span"),
     )
     frequency = F.when(F.col("span") == 0, F.col("commits").cast("double")).otherwise(F.round(F.col("commits") / F.col("span"), 4))
     return out.withColumn("per_day", frequency).drop("span")
@@ -228,7 +254,7 @@ def team_performance(changes: DataFrame, impact: DataFrame) -> DataFrame:
     joined = pattern.join(streak, "author").join(author_impact(changes, impact).select("author", "impact", "critical_files", "maintenance_percent"), "author").join(co_authors(changes), "author", "left")
     total = pattern.agg(F.sum("commits").alias("total"))
     hundred = lambda x: F.least(x, F.lit(100.0))
-    diversity = F.greatest(F.lit(0.0), hundred(100 * 0.3 * F.col("fixes") / F.col("commits")))
+    diversity = F.greatest(F.lit(0.0), hundred(100 * (35.0 * F.col("features") + 35.0 * F.col("refactorings") + 30.0 * F.col("fixes")) / F.col("commits")))
     activity = 0.6 * size_score(F.col("mean_size")) + 0.4 * diversity
     gap = F.when(F.col("active_days") > 1, F.col("mean_gap")).otherwise(30.0)
     consistency = 0.4 * hundred(20 * F.col("per_day")) + 0.3 * hundred(5.0 * F.col("longest_streak")) + 0.3 * F.greatest(F.lit(0.0), 100 - 3 * gap)

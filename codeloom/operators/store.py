@@ -36,9 +36,9 @@ def stale(tracked: DataFrame, current: DataFrame) -> DataFrame:
 
 
 def changed(tracked: DataFrame, listing: DataFrame, slack: float = 0.01) -> DataFrame:
-    """(filepath, state) of the listing: new, same (by time, or by hash where the time differs), or changed."""
+    """(filepath, state) of the listing: new, same (no later than it was, or of the same hash), or changed."""
     t = tracked.select("filepath", F.col("mtime").alias("_m"), F.col("content_hash").alias("_h"))
-    state = F.when(F.col("_m").isNull(), "new").when(F.abs(F.col("mtime") - F.col("_m")) < slack, "same").when(F.col("content_hash") == F.col("_h"), "same").otherwise("changed")
+    state = F.when(F.col("_m").isNull(), "new").when(F.col("mtime") <= F.col("_m") + slack, "same").when(F.col("content_hash") == F.col("_h"), "same").otherwise("changed")
     return listing.join(t, "filepath", "left").select("filepath", state.alias("state"))
 
 

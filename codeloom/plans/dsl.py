@@ -50,7 +50,11 @@ def name_matches(name: Column, wanted: str) -> Column:
     return name.contains(wanted)
 
 
-def in_scope(path: Column, target: str, extensions=("py", "js", "ts", "java", "go", "rs", "c", "cpp", "h")) -> Column:
+#: The extensions whose files are parsed.
+EXTENSIONS = ("py", "pyi", "java", "scala", "kt", "kts", "js", "jsx", "ts", "tsx", "mjs", "cjs", "rb", "cs", "cpp", "cc", "cxx", "c", "h", "hpp", "hxx", "go", "rs", "swift")
+
+
+def in_scope(path: Column, target: str, extensions=EXTENSIONS) -> Column:
     """A file by its extension, else everything below a directory."""
     if target.rpartition(".")[2] in extensions:
         return path == target

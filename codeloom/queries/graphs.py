@@ -10,7 +10,7 @@ from ..operators import graph as G
 from ..session import written
 from . import query
 
-SEEDS = "id < 20"
+SEEDS = "id % 20 = 0"
 
 
 def stored_calls(spark, d):
@@ -22,25 +22,15 @@ def seeds(spark, d):
     return A.symbols(spark, d).where(SEEDS).select("id")
 
 
-@query(with_("calls", "SELECT DISTINCT dst AS seed, src AS id FROM calls WHERE dst < 200"))
-def callers(spark, d):
-    return G.neighbours(A.calls(spark, d), A.symbols(spark, d).where("id < 200"), forward=False)
-
-
-@query(with_("calls", f"SELECT DISTINCT src AS seed, dst AS id FROM calls WHERE src < 200"))
-def callees(spark, d):
-    return G.neighbours(A.calls(spark, d), A.symbols(spark, d).where("id < 200"))
-
-
 @query(with_("calls", "SELECT DISTINCT dst AS seed, src AS id FROM calls"))
-def callers_whole(spark, d):
-    """callers, with every symbol as a seed."""
+def callers(spark, d):
+    """Every symbol is a seed."""
     return G.neighbours(A.calls(spark, d), A.symbols(spark, d), forward=False)
 
 
 @query(with_("calls", "SELECT DISTINCT src AS seed, dst AS id FROM calls"))
-def callees_whole(spark, d):
-    """callees, with every symbol as a seed."""
+def callees(spark, d):
+    """Every symbol is a seed."""
     return G.neighbours(A.calls(spark, d), A.symbols(spark, d))
 
 
@@ -51,17 +41,12 @@ def explain_edges(spark, d):
     return A.trade(spark, d).select(F.lit("TRADES").alias("rel"), "src", "dst", "weight").union(member).where("src = 3")
 
 
-TRACE = "w(id, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey < 20 UNION SELECT e.{b}, hop + 1 FROM w JOIN calls e ON e.{a} = w.id WHERE hop < {k})"
+TRACE = "w(id, hop) AS (SELECT p_partkey, 0 FROM part WHERE p_partkey % 20 = 0 UNION SELECT e.{b}, hop + 1 FROM w JOIN calls e ON e.{a} = w.id WHERE hop < {k})"
 
 
 @query(with_("calls", ", " + TRACE.format(a="src", b="dst", k=6) + " SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY id HAVING min(hop) > 0", True))
 def trace_hops(spark, d):
-    return G.trace(stored_calls(spark, d), seeds(spark, d), 6)
-
-
-@query(with_("calls", ", " + TRACE.replace("p_partkey < 20", "p_partkey % 20 = 0").format(a="src", b="dst", k=6) + " SELECT id, CAST(min(hop) AS BIGINT) AS hop FROM w GROUP BY id HAVING min(hop) > 0", True))
-def trace_hops_whole(spark, d):
-    """trace_hops from a twentieth of all symbols, so seeds grow with the table."""
+    """From every symbol whose id is divisible by 20, so seeds grow with the table."""
     return G.trace(stored_calls(spark, d), A.symbols(spark, d).where("id % 20 = 0").select("id"), 6)
 
 
@@ -76,14 +61,8 @@ def caller_counts(spark, d):
     return G.caller_counts(A.calls(spark, d), A.symbols(spark, d))
 
 
-@query(with_("calls symbols", ", c AS (SELECT dst AS id, count(DISTINCT src) AS callers FROM calls GROUP BY 1) SELECT s.id, s.name, callers FROM symbols s JOIN c USING (id) WHERE kind IN ('function', 'method') AND callers >= 3"))
-def entry_points(spark, d):
-    return G.caller_counts(A.calls(spark, d), A.symbols(spark, d)).where("callers >= 3")
-
-
 @query(with_("calls symbols", ", c AS (SELECT dst AS id, count(DISTINCT src) AS callers FROM calls GROUP BY 1) SELECT s.id, s.name, callers FROM symbols s JOIN c USING (id) WHERE kind IN ('function', 'method') AND callers >= 5"))
-def entry_points_five(spark, d):
-    """entry_points with A3's own threshold."""
+def entry_points(spark, d):
     return G.caller_counts(A.calls(spark, d), A.symbols(spark, d)).where("callers >= 5")
 
 
@@ -136,33 +115,6 @@ def symbol_resolution(spark, d):
     return A.calls(spark, d).join(s.where("kind = 'function'").select(F.col("id").alias("dst"), "base"), "dst").join(target, "base").select("src", "dst", "kind", "target")
 
 
-def spans(spark, d):
-    return A.table(spark, d, "lineitem").where("l_orderkey % 3 = 0").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
-
-
-SPANS = 'spans AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS id, l_partkey AS s, l_partkey + CAST(l_quantity AS BIGINT) AS e FROM lineitem WHERE l_orderkey % 3 = 0), points AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS line FROM lineitem WHERE l_orderkey % 3 = 1)'
-
-
-def points(spark, d):
-    return A.table(spark, d, "lineitem").where("l_orderkey % 3 = 1").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("line")).distinct()
-
-
-@query(f"WITH {SPANS} SELECT p.file, line, min_by(id, struct_pack(s := s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
-def interval_call_resolution(spark, d):
-    return G.containing(points(spark, d), spans(spark, d))
-
-
-@query(f"WITH {SPANS} SELECT p.file, line, min_by(id, struct_pack(w := e - s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
-def innermost_container(spark, d):
-    return G.innermost(points(spark, d), spans(spark, d))
-
-
-@query(f"WITH {SPANS} , h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS hs, l_partkey + l_linenumber AS he FROM lineitem WHERE l_orderkey % 50 = 1) SELECT id, count(*) AS hunks FROM spans x JOIN h ON h.file = x.file AND hs <= e AND he >= s GROUP BY id")
-def hunk_overlap(spark, d):
-    hunks = A.table(spark, d, "lineitem").where("l_orderkey % 50 = 1").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_linenumber")).alias("end")).distinct()
-    return G.overlapping(hunks, spans(spark, d))
-
-
 def ranges(spark, d):
     """(file, id, start, end) of all of lineitem."""
     return A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_quantity").cast("long")).alias("end")).distinct()
@@ -172,22 +124,22 @@ RANGES = "spans AS (SELECT DISTINCT l_suppkey AS file, l_orderkey AS id, l_partk
 
 
 @query(f"WITH {RANGES} SELECT p.file, line, min_by(id, struct_pack(s := s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
-def interval_call_resolution_whole(spark, d):
-    """interval_call_resolution over all of lineitem."""
+def interval_call_resolution(spark, d):
+    """Over all of lineitem."""
     spans = ranges(spark, d)
     return G.containing(spans.select("file", F.col("start").alias("line")).distinct(), spans)
 
 
 @query(f"WITH {RANGES} SELECT p.file, line, min_by(id, struct_pack(w := e - s, id := id)) AS owner FROM points p JOIN spans x ON x.file = p.file AND line BETWEEN s AND e GROUP BY 1, 2")
-def innermost_container_whole(spark, d):
-    """innermost_container over all of lineitem."""
+def innermost_container(spark, d):
+    """Over all of lineitem."""
     spans = ranges(spark, d)
     return G.innermost(spans.select("file", F.col("start").alias("line")).distinct(), spans)
 
 
 @query(f"WITH {RANGES} , h AS (SELECT DISTINCT l_suppkey AS file, l_partkey AS hs, l_partkey + l_linenumber AS he FROM lineitem) SELECT id, count(*) AS hunks FROM spans x JOIN h ON h.file = x.file AND hs <= e AND he >= s GROUP BY id")
-def hunk_overlap_whole(spark, d):
-    """hunk_overlap over all of lineitem."""
+def hunk_overlap(spark, d):
+    """Over all of lineitem."""
     hunks = A.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("file"), F.col("l_partkey").alias("start"), (F.col("l_partkey") + F.col("l_linenumber")).alias("end")).distinct()
     return G.overlapping(hunks, ranges(spark, d))
 

@@ -143,8 +143,8 @@ def author_streaks(spark, d):
     return H.streaks(A.activity(spark, d))
 
 
-PATTERNS = """, sizes AS (SELECT commit_id, author, ts, fix, sum(added + deleted) AS size, count(*) AS files FROM changes GROUP BY ALL),
-pattern AS (SELECT author, count(*) AS commits, round(avg(size), 4) AS mean_size, count(*) FILTER (size < 10) AS small, count(*) FILTER (size >= 10 AND size < 100) AS medium, count(*) FILTER (size >= 100) AS "large", count(*) FILTER (fix) AS fixes, round(avg(files), 4) AS mean_files,
+PATTERNS = """, sizes AS (SELECT commit_id, author, ts, message, fix, sum(added + deleted) AS size, count(*) AS files FROM changes GROUP BY ALL),
+pattern AS (SELECT author, count(*) AS commits, round(avg(size), 4) AS mean_size, count(*) FILTER (size < 10) AS small, count(*) FILTER (size >= 10 AND size < 100) AS medium, count(*) FILTER (size >= 100) AS "large", count(*) FILTER (fix) AS fixes, count(*) FILTER (regexp_matches(lower(message), 'add|new|feature|implement|create')) AS features, count(*) FILTER (regexp_matches(lower(message), 'refactor|cleanup|reorganize|restructure|optimize')) AS refactorings, round(avg(files), 4) AS mean_files,
   CASE WHEN date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)) = 0 THEN CAST(count(*) AS DOUBLE) ELSE round(CAST(count(*) AS DOUBLE) / date_diff('day', CAST(min(ts) AS DATE), CAST(max(ts) AS DATE)), 4) END AS per_day FROM sizes GROUP BY author) """
 
 
@@ -200,7 +200,7 @@ def co_authors(spark, d):
 
 
 @query(with_("changes", PATTERNS + STREAKS.format(src="changes") + IMPACT + AUTHOR_IMPACT + CO + """, x AS (SELECT p.author, p.commits, sum(p.commits) OVER () AS total,
-  0.6::DOUBLE * (CASE WHEN mean_size < 20 THEN 5 * mean_size WHEN mean_size <= 50 THEN 100 ELSE greatest(0, 100 - 2 * (mean_size - 50)) END) + 0.4::DOUBLE * greatest(0, least(100, 100 * 0.3::DOUBLE * fixes / p.commits)) AS x,
+  0.6::DOUBLE * (CASE WHEN mean_size < 20 THEN 5 * mean_size WHEN mean_size <= 50 THEN 100 ELSE greatest(0, 100 - 2 * (mean_size - 50)) END) + 0.4::DOUBLE * greatest(0, least(100, 100 * (35.0::DOUBLE * features + 35.0::DOUBLE * refactorings + 30.0::DOUBLE * p.fixes) / p.commits)) AS x,
   0.4::DOUBLE * least(20 * per_day, 100) + 0.3::DOUBLE * least(5.0::DOUBLE * longest_streak, 100) + 0.3::DOUBLE * greatest(0, 100 - 3 * (CASE WHEN active_days > 1 THEN mean_gap ELSE 30 END)) AS y,
   0.4::DOUBLE * least(impact / 10.0::DOUBLE, 100) + 0.3::DOUBLE * least(10.0::DOUBLE * coalesce(coworkers, 0), 100) + 0.3::DOUBLE * least(20.0::DOUBLE * critical_files, 100) AS z
   FROM pattern p JOIN streak s USING (author) JOIN author_impact i ON i.author = p.author LEFT JOIN co ON co.author = p.author)

@@ -81,17 +81,11 @@ def quantise_int8(spark, d):
     return q.select("id", F.aggregate(F.transform("q", lambda x, i: x.cast("long") * (i + 1)), F.lit(0).cast("long"), lambda s, x: s + x).alias("weighted"), F.array_max(F.transform("q", lambda x: F.abs(x.cast("long")))).alias("top"))
 
 
-SETS = ", s AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(substr(body, 1, 4096)), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3)) AS t FROM bodies WHERE id < 400), p AS (SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) AS c, len(a.t) + len(b.t) AS n FROM s a JOIN s b ON a.id < b.id AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) AND len(a.t) > 0)"
+SETS = ", s AS (SELECT id, list_distinct(list_filter(regexp_split_to_array(lower(body), '[^\\p{L}\\p{N}_]+'), lambda w: length(w) >= 3)) AS t FROM bodies), p AS (SELECT a.id AS a, b.id AS b, CAST(len(list_intersect(a.t, b.t)) AS DOUBLE) AS c, len(a.t) + len(b.t) AS n FROM s a JOIN s b ON a.id < b.id AND len(a.t) >= 0.7 * len(b.t) AND len(b.t) >= 0.7 * len(a.t) AND len(a.t) > 0)"
 
 
-@query(with_("bodies", SETS.replace("WHERE id < 400", "") + " SELECT a, b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 0.7"))
+@query(with_("bodies", SETS + " SELECT a, b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 0.7"))
 def jaccard_pairs(spark, d):
-    """J10 on the reference's first 4096 characters, as the SQL has it; jaccard_pairs_whole takes whole texts."""
-    return S.jaccard_pairs(A.bodies(spark, d), most_chars=4096).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
-
-
-@query(with_("bodies", SETS.replace("WHERE id < 400", "").replace("substr(body, 1, 4096)", "body") + " SELECT a, b, round(c / (n - c), 6) AS jaccard FROM p WHERE c / (n - c) >= 0.7"))
-def jaccard_pairs_whole(spark, d):
     return S.jaccard_pairs(A.bodies(spark, d)).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 

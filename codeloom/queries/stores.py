@@ -96,28 +96,15 @@ def next_record(spark, d):
     return K.next_record(A.table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("number")), "  Use Spark, now! ")
 
 
-@query(with_("numstat", "SELECT commit_id, file, added, deleted FROM numstat WHERE commit_id < 3000"))
-def gitlog_numstat(spark, d):
-    """A log is written out as text lines in commit order, and parsed back."""
-    n = A.numstat(spark, d).where("commit_id < 3000")
-    return gitlog.numstat(gitlog.as_log(n)).select(F.col("commit").cast("long").alias("commit_id"), "file", "added", "deleted")
-
-
 @query(with_("numstat", "SELECT commit_id, file, added, deleted FROM numstat"))
-def gitlog_numstat_whole(spark, d):
-    """gitlog_numstat over all commits; the log is dealt to more sources."""
+def gitlog_numstat(spark, d):
+    """A log is written out as text lines in commit order, dealt to sources, and parsed back."""
     return gitlog.numstat(gitlog.as_log(A.numstat(spark, d), 1024)).select(F.col("commit").cast("long").alias("commit_id"), "file", "added", "deleted")
 
 
-@query("SELECT l_suppkey AS file, l_orderkey AS start, l_orderkey + greatest(l_linenumber, 1) - 1 AS \"end\", count(*) AS hunks FROM lineitem WHERE l_orderkey < 500 GROUP BY ALL")
+@query("SELECT l_suppkey AS file, l_orderkey AS start, l_orderkey + greatest(l_linenumber, 1) - 1 AS \"end\", count(*) AS hunks FROM lineitem GROUP BY ALL")
 def diff_hunks(spark, d):
     """Hunk headers of a diff without context become ranges of each file."""
-    return _hunks(A.table(spark, d, "lineitem").where("l_orderkey < 500"))
-
-
-@query("SELECT l_suppkey AS file, l_orderkey AS start, l_orderkey + greatest(l_linenumber, 1) - 1 AS \"end\", count(*) AS hunks FROM lineitem GROUP BY ALL")
-def diff_hunks_whole(spark, d):
-    """diff_hunks over all of lineitem."""
     return _hunks(A.table(spark, d, "lineitem"))
 
 

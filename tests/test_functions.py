@@ -8,10 +8,10 @@ from codeloom.functions import metrics as M
 from codeloom.functions import naming as N
 
 NAMES = {
-    "userName": ("camelCase", "", "", False), "UserName": ("PascalCase", "", "", False), "user_name": ("snake_case", "", "", False), "MAX_BUFFER_SIZE": ("SCREAMING_SNAKE_CASE", "", "", False),
-    "user-name": ("kebab-case", "", "", False), "User-Name": ("Train-Case", "", "", False), "USER-NAME": ("COBOL-CASE", "", "", False), "username": ("flatcase", "", "", False), "USERNAME": ("UPPERFLATCASE", "", "", False),
-    "java.util.logging": ("dot.case", "", "", False), "m_name": ("flatcase", "m_", "", False), "_internalValue": ("camelCase", "_", "", False), "name_": ("flatcase", "", "_", False), "m_user_name": ("snake_case", "m_", "", False),
-    "kConstant": ("PascalCase", "k", "", False), "IService": ("PascalCase", "I", "", False), "TArray": ("PascalCase", "T", "", False), "__init__": ("flatcase", "__", "__", True), "": ("unknown", "", "", False),
+    "rowCount": ("camelCase", "", "", False), "RowCount": ("PascalCase", "", "", False), "row_count": ("snake_case", "", "", False), "LEAST_SEEN_AT": ("SCREAMING_SNAKE_CASE", "", "", False),
+    "row-count": ("kebab-case", "", "", False), "Row-Count": ("Train-Case", "", "", False), "ROW-COUNT": ("COBOL-CASE", "", "", False), "rowcount": ("flatcase", "", "", False), "ROWCOUNT": ("UPPERFLATCASE", "", "", False),
+    "net.http.cookies": ("dot.case", "", "", False), "m_rows": ("flatcase", "m_", "", False), "_hiddenTotal": ("camelCase", "_", "", False), "rows_": ("flatcase", "", "_", False), "m_row_count": ("snake_case", "m_", "", False),
+    "kLimit": ("PascalCase", "k", "", False), "IReader": ("PascalCase", "I", "", False), "TQueue": ("PascalCase", "T", "", False), "__enter__": ("flatcase", "__", "__", True), "": ("unknown", "", "", False),
 }
 
 
@@ -21,18 +21,18 @@ def test_names(spark):
     assert [(r["intent"], r["canonical_verb"], list(r["tokens"])) for r in got if not r["raw"]] == [("unknown", "unknown", [])] * 2
 
 
-@pytest.mark.parametrize("tokens, verb, entity", [(["get", "user", "by", "id"], "retrieve", "user"), (["fetch", "user", "by", "id"], "retrieve", "user"), (["save", "user"], "persist", "user"), (["insert"], "persist", "unknown"), (["users", "list"], "unknown", "user"), (["by", "id"], "unknown", "by")])
+@pytest.mark.parametrize("tokens, verb, entity", [(["get", "order", "for", "day"], "retrieve", "order"), (["fetch", "order", "by", "day"], "retrieve", "order"), (["save", "row"], "persist", "row"), (["insert"], "persist", "unknown"), (["rows", "list"], "unknown", "row"), (["with", "id"], "unknown", "with")])
 def test_canonical(spark, tokens, verb, entity):
     df = spark.createDataFrame([(tokens,)], "t array<string>").select(N.canonical_verb(F.col("t")).alias("v"), N.canonical_entity(F.col("t")).alias("e"))
     assert tuple(df.first()) == (verb, entity)
 
 
 def test_grammar_and_domain(spark):
-    rows = [("getByUserName", "src/auth/x.py"), ("byTheWay", "a/myauth.py"), ("x", "billing/a/b"), ("isOk", "a/config/b"), ("run", "")]
+    rows = [("getByRowCount", "src/auth/x.py"), ("byTheWay", "a/myauth.py"), ("x", "billing/a/b"), ("isOk", "a/config/b"), ("run", "")]
     got = {r["raw"]: r for r in N.analyse(spark.createDataFrame(rows, "raw string, p string"), path="p").collect()}
-    assert (got["getByUserName"]["verb"], got["getByUserName"]["entity"], got["getByUserName"]["qualifier"]) == ("get", "user", "name")
+    assert (got["getByRowCount"]["verb"], got["getByRowCount"]["entity"], got["getByRowCount"]["qualifier"]) == ("get", "row", "count")
     assert (got["byTheWay"]["verb"], got["byTheWay"]["entity"]) == (None, "the")
-    assert [got[k]["domain"] for k in ("getByUserName", "byTheWay", "x", "isOk", "run")] == ["auth", "auth", "core", "infra", "unknown"]
+    assert [got[k]["domain"] for k in ("getByRowCount", "byTheWay", "x", "isOk", "run")] == ["auth", "auth", "core", "infra", "unknown"]
     assert got["isOk"]["intent"] == "validation"
 
 

@@ -17,13 +17,13 @@ QUERIES, SQL = catalogue()
 def test_queries_cover_the_whole_tables(spark, sf001):
     run = lambda name: QUERIES[name](spark, sf001)
     calls, lines = A.calls(spark, sf001).collect(), A.table(spark, sf001, "lineitem")
-    assert {(r["src"], r["dst"]) for r in calls} == {(r["id"], r["seed"]) for r in run("callers_whole").collect()} == {(r["seed"], r["id"]) for r in run("callees_whole").collect()}
+    assert {(r["src"], r["dst"]) for r in calls} == {(r["id"], r["seed"]) for r in run("callers").collect()} == {(r["seed"], r["id"]) for r in run("callees").collect()}
     assert run("context_assembly").count() == A.symbols(spark, sf001).count() > 50
-    assert run("gitlog_numstat_whole").count() == lines.select("l_orderkey", "l_partkey").distinct().count()
-    assert run("diff_hunks_whole").agg(F.sum("hunks")).first()[0] == lines.count()
+    assert run("gitlog_numstat").count() == lines.select("l_orderkey", "l_partkey").distinct().count()
+    assert run("diff_hunks").agg(F.sum("hunks")).first()[0] == lines.count()
     points = lines.select("l_suppkey", "l_partkey").distinct().count()
-    assert run("interval_call_resolution_whole").count() == run("innermost_container_whole").count() == points
-    assert run("hunk_overlap_whole").count() == lines.select("l_orderkey").distinct().count()
+    assert run("interval_call_resolution").count() == run("innermost_container").count() == points
+    assert run("hunk_overlap").count() == lines.select("l_orderkey").distinct().count()
 
 
 def test_minhash_membership_gives_every_copy(spark):
@@ -76,5 +76,5 @@ def test_hcgs_summaries_has_every_symbol(spark, sf001):
 
 
 def test_entry_points_have_five_callers(spark, sf001):
-    rows = QUERIES["entry_points_five"](spark, sf001).collect()
+    rows = QUERIES["entry_points"](spark, sf001).collect()
     assert rows and all(r["callers"] >= 5 for r in rows)
