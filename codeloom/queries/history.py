@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..adapters import with_
 from ..operators import history as H
+from ..session import written
 from . import query
 
 ENTROPY = "round(abs(log2(CAST(sum(c) AS DOUBLE)) - sum(c * log2(CAST(c AS DOUBLE))) / sum(c)), 4)"
@@ -206,7 +207,7 @@ def co_authors(spark, d):
   FROM pattern p JOIN streak s USING (author) JOIN author_impact i ON i.author = p.author LEFT JOIN co ON co.author = p.author)
 SELECT author, round(x, 3) AS activity, round(y, 3) AS consistency, round(z, 3) AS collaboration, round(0.4::DOUBLE * x + 0.3::DOUBLE * y + 0.3::DOUBLE * z, 3) AS overall, round(100.0::DOUBLE * commits / total, 3) AS contribution FROM x"""))
 def team_performance(spark, d):
-    changes = A.changes(spark, d)
+    changes = written(A.changes(spark, d).select("commit_id", "author", "ts", "message", "fix", "file", "added", "deleted"), "changes")  # five branches read it
     return H.team_performance(changes, H.file_impact(changes, critical()))
 
 
