@@ -88,6 +88,14 @@ def report(sections: dict[str, DataFrame]) -> DataFrame:
     return rows.select(F.to_json(F.struct(*sections)).alias("report"))
 
 
+def report_lines(sections: dict[str, DataFrame], yaml: bool = False) -> DataFrame:
+    """(section, item), a line of JSON for each row of each section, or an item of a YAML list (JSON is YAML's flow style). Rows stay
+    distributed, so sections may be long; written by section they are one file set each."""
+    item = F.to_json(F.struct("*"), {"ignoreNullFields": "false"})
+    parts = (df.select(F.lit(name).alias("section"), (F.concat(F.lit("- "), item) if yaml else item).alias("item")) for name, df in sections.items())
+    return reduce(DataFrame.unionByName, parts)
+
+
 def identity(path: Column, kind: Column, name: Column, line: Column) -> Column:
     """A node's id: file, kind, qualified name and line."""
     return F.concat_ws("::", path, kind, name, line.cast("string"))

@@ -19,6 +19,6 @@ def query(sql: str | None = None):
 
 
 def catalogue() -> tuple[dict, dict[str, str]]:
-    from . import graphs, history, lookups, relational, search, source_metrics, stores, streams  # noqa: F401
+    from . import graphs, history, lookups, relational, search, source_metrics, stores, streams, upkeep  # noqa: F401
 
     return dict(QUERIES), dict(SQL)
