@@ -1,4 +1,4 @@
-"""Sync, caches, logs, staged builds, request checks, functional analysis, summaries and the export by lines."""
+"""Sync, caches, logs, staged builds, request checks, functional analysis, summaries, the export by lines, and embeddings of large graphs."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from ..functions import metrics as M
 from ..functions import texts as T
 from ..operators import history as H
 from ..operators import purity as P
+from ..operators import spectral
 from ..operators import store as S
 from ..operators import upkeep as U
 from ..session import shared_dir
@@ -170,3 +171,9 @@ def report_lines(spark, d):
         "hotspots": s.select("name", "complexity").orderBy(F.desc("complexity"), "name").limit(20),
         "branches": H.branch_stats(c, F.col("subject")),
     })
+
+
+@query()
+def subspace_embedding(spark, d):
+    """The call graph; tests compare the method with a dense decomposition."""
+    return spectral.subspace_embedding(A.calls(spark, d), 16)
