@@ -175,5 +175,5 @@ def report_lines(spark, d):
 
 @query()
 def subspace_embedding(spark, d):
-    """The call graph; tests compare the method with a dense decomposition."""
-    return spectral.subspace_embedding(A.calls(spark, d), 16)
+    """The call graph, in six rounds; tests compare the method with a dense decomposition."""
+    return spectral.subspace_embedding(A.calls(spark, d), 16, rounds=6)
