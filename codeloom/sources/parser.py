@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import ast
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 SCHEMA = "path string, row string, id string, kind string, name string, qualified string, line int, end_line int, complexity int, cognitive int, is_test boolean, recursive boolean, src string, dst string, rel string, detail string"
 ARROW = pa.schema([(c.split()[0], {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}[c.split()[1]]) for c in SCHEMA.split(", ")])
 BRANCHES = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.With, ast.AsyncWith, ast.IfExp, ast.comprehension)
+DEFINITIONS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 NESTING = (ast.If, ast.For, ast.AsyncFor, ast.While, ast.ExceptHandler, ast.IfExp)
 #: Definitions in other languages: pattern and kind.
 PATTERNS = {
@@ -33,21 +35,25 @@ ROUTES = {"get", "post", "put", "delete", "patch", "head", "options"}
 
 
 def dotted(node: ast.AST) -> str:
-    if isinstance(node, ast.Attribute):
-        return f"{dotted(node.value)}.{node.attr}".lstrip(".")
-    return node.id if isinstance(node, ast.Name) else ""
-
-
-def cognitive(node: ast.AST, depth: int = 0) -> int:
-    """One and the nesting for each branch; one for each run of boolean operators."""
-    total = 0
-    for child in ast.iter_child_nodes(node):
-        if isinstance(child, NESTING):
-            total += 1 + depth + cognitive(child, depth + 1)
-        elif isinstance(child, ast.BoolOp):
-            total += 1 + cognitive(child, depth)
-        elif not isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            total += cognitive(child, depth)
+    parts = []
+    while isinstance(node, ast.Attribute):
+        parts.append(node.attr)
+        node = node.value
+    return ".".join(([node.id] if isinstance(node, ast.Name) else []) + parts[::-1])
+
+
+def cognitive(node: ast.AST) -> int:
+    """One and the nesting for each branch; one for each run of boolean operators. Long chains of branches nest deeply, so this is a loop."""
+    total, stack = 0, [(node, 0)]
+    while stack:
+        above, depth = stack.pop()
+        for child in ast.iter_child_nodes(above):
+            if isinstance(child, NESTING):
+                total += 1 + depth
+                stack.append((child, depth + 1))
+            elif not isinstance(child, DEFINITIONS):
+                total += isinstance(child, ast.BoolOp)
+                stack.append((child, depth))
     return total
 
 
@@ -66,12 +72,17 @@ class Rows:
 
 def _own(node):
     """The nodes below a definition, without those of definitions inside it."""
-    stack = list(ast.iter_child_nodes(node))
+    return _flat(list(ast.iter_child_nodes(node)))
+
+
+def _flat(nodes):
+    """The nodes and all below them in order, without what lies inside definitions."""
+    stack = nodes[::-1]
     while stack:
         n = stack.pop()
         yield n
-        if not isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
-            stack.extend(ast.iter_child_nodes(n))
+        if not isinstance(n, DEFINITIONS):
+            stack.extend(list(ast.iter_child_nodes(n))[::-1])
 
 
 def _function(rows: Rows, node, qualified: str, parent: str, kind: str):
@@ -114,7 +125,8 @@ def _environment(n: ast.AST) -> str | None:
 
 
 def _body(rows: Rows, body, prefix: str, parent: str, kind: str):
-    for node in body:
+    """Definitions, imports and lambdas of a body, also those inside branches, loops, handlers and cases."""
+    for node in _flat(body):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             _function(rows, node, f"{prefix}.{node.name}".lstrip("."), parent, kind)
         elif isinstance(node, ast.ClassDef):
@@ -129,26 +141,25 @@ def _body(rows: Rows, body, prefix: str, parent: str, kind: str):
                 rows.edge(rows.path, f"external_file::{a.name}", "IMPORTS", node.lineno)
         elif isinstance(node, ast.ImportFrom):
             rows.edge(rows.path, f"external_file::{'.' * node.level}{node.module or ''}", "IMPORTS", node.lineno)
-        else:
-            for part in ("body", "orelse", "finalbody"):
-                _body(rows, getattr(node, part, []) or [], prefix, parent, kind)
+        elif isinstance(node, ast.Lambda):
+            name = f"{prefix.rpartition('.')[2]}$lambda_{node.lineno}_{node.col_offset}"
+            rows.edge(parent, rows.node("Lambda", name, f"{prefix}.{name}".lstrip("."), node.lineno, node.end_lineno), "CONTAINS_LAMBDA", node.lineno)
 
 
 def parsed(path: str, text: str) -> list[dict]:
     rows = Rows(path)
-    lines = text.count("\n") + 1
-    file = rows.node("File", path.rpartition("/")[2], path, 1, lines)
+    ends = [m.start() for m in re.finditer("\n", text)]
+    file = rows.node("File", path.rpartition("/")[2], path, 1, len(ends) + 1)
     language = EXTENSIONS.get(path.rpartition(".")[2].lower())
     if language == "python":
         try:
-            module = ast.parse(text)
-        except (SyntaxError, ValueError, RecursionError):
-            return rows.out  # the file alone
-        _body(rows, module.body, "", file, "Function")
+            _body(rows, ast.parse(text).body, "", file, "Function")
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return rows.out[:1]  # the file alone
     else:
         for pattern, kind in PATTERNS.get(language, ()):
             for m in re.finditer(pattern, text, re.M):
-                line = text.count("\n", 0, m.start(1)) + 1
+                line = bisect_left(ends, m.start(1)) + 1
                 me = rows.node(kind, m[1], m[1], line, line)
                 rows.edge(file, me, "CONTAINS")
                 if m.re.groups > 1 and m[2]:
@@ -177,3 +188,13 @@ def nodes(rows: DataFrame) -> DataFrame:
 
 def edges(rows: DataFrame) -> DataFrame:
     return rows.where("row = 'edge'").select("src", "dst", "rel", "line", "detail").distinct()
+
+
+def lambdas(rows: DataFrame) -> DataFrame:
+    """(parent): a row for each lambda, as `purity.lambda_density` takes them."""
+    return rows.where("row = 'edge' AND rel = 'CONTAINS_LAMBDA'").select(F.col("src").alias("parent"))
+
+
+def accesses(rows: DataFrame) -> DataFrame:
+    """(src, is_mutation, is_taint): accesses to the object's own state, as `purity.state_mutations` takes them; taints aren't traced."""
+    return rows.where("row = 'edge' AND rel IN ('READS', 'WRITES')").select("src", (F.col("rel") == "WRITES").alias("is_mutation"), F.lit(False).alias("is_taint"))

@@ -2,6 +2,7 @@ import subprocess
 
 from pyspark.sql import functions as F
 
+from codeloom.operators import purity as P
 from codeloom.sources import diff, files, gitlog, parser
 from codeloom.streaming import events as E
 
@@ -36,6 +37,38 @@ def test_python_parser(spark):
     assert {("USES", "env::DATABASE_URL"), ("USES", "env::API_KEY"), ("RAISES", "external::ValueError"), ("HTTP_CALLS", "route::/items/{item_id}"), ("IMPORTS", "external_file::.util"), ("RETURNS", "external_type::str"), ("READS", "state::ready")} <= edges
 
 
+def test_parser_feeds_the_functional_analysis(spark):
+    text = """key = lambda x: x
+class A:
+    def put(self, v):
+        self.v = v
+        self.n += 1
+        return sorted(self.v, key=lambda a: (lambda b: b)(a))
+try:
+    import fast
+except ImportError:
+    def slow():
+        return 1
+"""
+    rows = parser.parse(spark.createDataFrame([("m.py", text), ("n.py", "f = 1")], "path string, text string")).cache()
+    nodes, edges = parser.nodes(rows), parser.edges(rows)
+    names = {(r["kind"], r["name"], r["line"]) for r in nodes.where("path = 'm.py'").collect()}
+    assert {("lambda", "$lambda_1_6", 1), ("function", "slow", 10)} <= names and sum(k == "lambda" for k, _, _ in names) == 3
+    files = nodes.where("kind = 'file'")
+    # file, class, method: the two lambdas of the method are two steps below the file
+    assert [tuple(r) for r in P.lambda_density(edges.where("rel = 'CONTAINS'"), parser.lambdas(rows), files).collect()] == [("m.py", 2)]
+    assert [tuple(r) for r in P.state_mutations(parser.accesses(rows), nodes).collect()] == [("put", 2)]
+
+
+def test_long_and_deep_sources():
+    chain = "def f(x):\n    if x == 0:\n        return 0\n" + "".join(f"    elif x == {i}:\n        return {i}\n" for i in range(1, 900))
+    f = next(r for r in parser.parsed("a.py", chain) if r.get("kind") == "Function")
+    assert (f["complexity"], f["cognitive"]) == (901, 900 * 901 // 2)
+    assert [r["kind"] for r in parser.parsed("b.py", "(" * 5000 + ")" * 5000)] == ["File"]
+    many = parser.parsed("c.js", "function f() {}\n" * 20000)
+    assert [r["line"] for r in many if r.get("kind") == "Function"] == list(range(1, 20001))
+
+
 def test_git(spark, tmp_path):
     run = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=A", "-c", "user.email=a@x.org", *a], check=True, capture_output=True, text=True).stdout
     run("init", "-q")
