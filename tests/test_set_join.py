@@ -4,6 +4,9 @@ import random
 
 from codeloom.operators import search as S
 from codeloom.operators import set_join as J
+from codeloom.queries import catalogue
+
+QUERIES = catalogue()[0]
 
 
 def _texts(r):
@@ -37,3 +40,12 @@ def test_few_pairs_of_sets_are_candidates(spark):
     sets = J.hashed(S.token_sets(spark.createDataFrame(list(enumerate(texts)), "id long, body string")))
     rows = sets.join(J.classes(sets)[1].drop("n"), ["id", "k1"]).select("no", "words")
     assert 1 <= J.candidates(rows, 0.7).count() < 300
+
+
+def test_similarity_edges_are_both_directions_without_joins_of_words(spark, sf001):
+    """Before, the plan exploded all words into rows and joined them with themselves."""
+    df = QUERIES["similarity_edges"](spark, sf001)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(tokens" not in plan and "array_intersect" not in plan
+    rows = [tuple(x) for x in df.collect()]
+    assert rows and len(set(rows)) == len(rows) and {(b, a, j) for a, b, j in rows} == set(rows)
