@@ -10,6 +10,8 @@ Words are known by 64 bits, sets by 128. Equal sets are one class, compared once
 3. Components of candidates are compared inside, all pairs exactly, a large one in cells of two blocks.
 
 Nothing is capped: words of many sets make many hits, compared in arrays.
+
+MinHash takes the place of steps 1 and 2: rows are dealt by band, and a band gives links that join its near sets instead of their pairs.
 """
 
 from __future__ import annotations
@@ -37,23 +39,25 @@ PARTS, SALTS = 1024, 16
 STEP = 200_000
 
 
-def hashed(sets: DataFrame) -> DataFrame:
-    """(id, n, k1, k2, words) of sets(id, tokens) that have tokens and an id: sorted hashes of the tokens, and of all of them. Written, since
-    cutting texts into words costs more than all that follows."""
-    rows = sets.where(F.col("id").isNotNull() & (F.size("tokens") > 0))
+def hashed(sets: DataFrame, every: bool = False) -> DataFrame:
+    """(id, n, k1, k2, words) of sets(id, tokens) that have tokens and an id (of all with every): sorted hashes of the tokens, and of all of
+    them. Written, since cutting texts into words costs more than all that follows."""
+    rows = sets if every else sets.where(F.col("id").isNotNull() & (F.size("tokens") > 0))
     rows = rows.select("id", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", lambda w: F.xxhash64(w))).alias("words"))
     return written(rows.select("id", "n", F.xxhash64("words").alias("k1"), F.xxhash64(F.lit(1), "words").alias("k2"), "words"), "sets")
 
 
 def classes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(id, no) of every row of `hashed`, no being its class; and (id, k1, no, n) of the row with the least id of each class."""
-    keys = rows.select("id", "n", "k1", "k2")
+    """(id, no, class_id) of every row of `hashed` that has words, no being its class and class_id the least id there; and (id, k1, no, n) of
+    the row with that id. A class of rows without ids has a number only."""
+    keys = rows.where("n > 0").select("id", "n", "k1", "k2")
     own = Window.partitionBy("part").orderBy("k1", "k2")
-    one = keys.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n")).withColumn("part", F.pmod("k1", F.lit(PARTS)))
-    one = written(one.select("id", "n", "k1", "k2", ((F.row_number().over(own) - 1) * PARTS + F.col("part")).alias("no")), "classes")
+    one = keys.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.count(F.lit(1)).alias("members")).withColumn("part", F.pmod("k1", F.lit(PARTS)))
+    one = written(one.select("id", "n", "k1", "k2", "members", ((F.row_number().over(own) - 1) * PARTS + F.col("part")).alias("no")), "classes")
     salted = keys.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))  # a class may hold most rows
-    every = one.select("k1", "k2", "no", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
-    return written(salted.join(every, ["k1", "k2", "salt"]).select("id", "no"), "members"), one.select("id", "k1", "no", "n")
+    alone = one.where("members = 1").select("id", "no", F.col("id").alias("class_id"))
+    several = one.where("members > 1").select("k1", "k2", "no", F.col("id").alias("class_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))).alias("salt"))
+    return written(salted.join(several, ["k1", "k2", "salt"]).select("id", "no", "class_id").unionByName(alone), "members"), one.where("id IS NOT NULL").select("id", "k1", "no", "n")
 
 
 def compact(rows: DataFrame) -> DataFrame:
@@ -100,6 +104,28 @@ def _prefixes(size, least: float) -> Callable:
     return run
 
 
+def _by_word(find: Callable, columns: Callable) -> Callable:
+    """Gives find the columns of sorted batches, about STEP rows at a time, all rows of a first column's value together."""
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(columns(batch))
+            rows += batch.num_rows
+            if rows < STEP:
+                continue
+            cols = [np.concatenate(c) for c in zip(*held)]
+            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last word may go on
+            yield from find(*(c[:cut] for c in cols))
+            held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
+        if held:
+            yield from find(*(np.concatenate(c) for c in zip(*held)))
+
+    return run
+
+
 def _hits(least: float) -> Callable:
     """Of rows (word, no, n, at) sorted by word and n: (pair, weight), pair being both numbers, the less one in the high half."""
 
@@ -117,21 +143,7 @@ def _hits(least: float) -> Callable:
                 a, b = no[left[good]], no[right[good]]
                 yield pa.record_batch([pa.array(np.minimum(a, b) << 32 | np.maximum(a, b)), pa.array((WHOLE // np.clip(need[good], 1, SHARED)).astype(np.int32))], ["pair", "weight"])
 
-    def run(batches):
-        held, rows = [], 0
-        for batch in batches:
-            held.append([c.to_numpy() for c in batch.columns])
-            rows += batch.num_rows
-            if rows < STEP:
-                continue
-            cols = [np.concatenate(c) for c in zip(*held)]
-            cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last word may go on
-            yield from compared(*(c[:cut] for c in cols))
-            held, rows = [[c[cut:] for c in cols]], len(cols[0]) - cut
-        if held:
-            yield from compared(*(np.concatenate(c) for c in zip(*held)))
-
-    return run
+    return _by_word(compared, lambda batch: [c.to_numpy() for c in batch.columns])
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
@@ -144,6 +156,78 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.shiftright("pair", 32).alias("u"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
 
 
+def _bands(permutations: int, rows: int) -> Callable:
+    """Of batches (no, n, words): a row (band, no, n, sketch) for each band of the MinHash signature; sketch holds two bits of each minimum."""
+    state = np.random.default_rng(permutations)
+    odd, plus = (state.integers(0, 1 << 63, permutations, dtype=np.uint64) << np.uint64(1) | np.uint64(1)), state.integers(0, 1 << 63, permutations, dtype=np.uint64)
+    count = permutations // rows
+
+    def run(batches):
+        for batch in _pieces(batches):
+            words, offsets = _lists(batch.column(2))
+            words = words.view(np.uint64)
+            least = np.stack([np.minimum.reduceat((words * odd[p] + plus[p]) >> np.uint64(32), offsets[:-1]) for p in range(permutations)], 1)
+            bits = np.pad((least & np.uint64(3)).astype(np.uint8), ((0, 0), (0, -permutations % 4)))
+            sketch = bits[:, 0::4] | bits[:, 1::4] << 2 | bits[:, 2::4] << 4 | bits[:, 3::4] << 6
+            key = np.broadcast_to(np.arange(count, dtype=np.uint64), (len(least), count))
+            for r in range(rows):
+                key = (key ^ least[:, r : count * rows : rows]) * np.uint64(0x9E3779B97F4A7C15)
+                key = key ^ key >> np.uint64(29)
+            which = np.repeat(np.arange(len(least)), count)
+            sketches = pa.FixedSizeBinaryArray.from_buffers(pa.binary(sketch.shape[1]), len(which), [None, pa.py_buffer(np.ascontiguousarray(sketch[which]))])
+            columns = [pa.array(key.ravel().view(np.int64)), pa.array(batch.column(0).to_numpy()[which]), pa.array(batch.column(1).to_numpy()[which]), sketches.cast(pa.binary())]
+            yield pa.record_batch(columns, ["band", "no", "n", "sketch"])
+
+    return run
+
+
+def _united(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """label, each row's least row of its group, after the groups of a and b became one."""
+    while len(a):
+        np.minimum.at(label, np.maximum(label[a], label[b]), np.minimum(label[a], label[b]))
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
+
+
+def _band_links(least: float, permutations: int) -> Callable:
+    """Of rows (band, no, n, sketch) sorted by band and n: links (u, v) that join what the pairs of a band join that fit in size and agree in as
+    many minima as sets of a Jaccard of least do, less five deviations (of which one pair in three million falls short)."""
+    chance = least + (1 - least) / 4
+    most = permutations * (1 - chance) + 5 * (permutations * chance * (1 - chance)) ** 0.5
+
+    def linked(band, no, n, sketch):
+        label, left = np.arange(len(band)), np.arange(len(band))
+        for lag in range(1, len(band)):
+            left = left[: np.searchsorted(left, len(band) - lag)]
+            left = left[(band[left] == band[left + lag]) & (least * n[left + lag] <= n[left] + 1e-9)]
+            if not len(left):
+                break
+            a = left[label[left] != label[left + lag]]  # what is joined needs no other link
+            differ = sketch[a] ^ sketch[a + lag]
+            a = a[np.bitwise_count((differ | differ >> 1) & 0x55).sum(1) <= most]
+            label = _united(label, a, a + lag)
+        far = np.flatnonzero(no[label] != no)
+        if len(far):
+            yield pa.record_batch([pa.array(np.minimum(no[far], no[label[far]])), pa.array(np.maximum(no[far], no[label[far]]))], ["u", "v"])
+
+    def columns(batch):
+        offsets = np.frombuffer(batch.column(3).buffers()[1], np.int32)[batch.column(3).offset :][: batch.num_rows + 1]
+        flat = np.frombuffer(batch.column(3).buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        return [*(batch.column(k).to_numpy() for k in range(3)), flat.reshape(batch.num_rows, -1)]
+
+    return _by_word(linked, columns)
+
+
+def minhash_links(rows: DataFrame, least: float, permutations: int, width: int) -> DataFrame:
+    """(u, v) that join the classes of rows (no, n, words) that may have a Jaccard of least and share a band of `width` minima."""
+    bands = rows.select("no", "n", "words").mapInArrow(_bands(permutations, width), "band long, no long, n int, sketch binary")
+    dealt = bands.repartition(task_count(rows.sparkSession), "band").sortWithinPartitions("band", "n")
+    return dealt.mapInArrow(_band_links(least, permutations), "u long, v long").distinct()
+
+
 def _cell_pairs(least: float) -> Callable:
     """Cells (c, i, j) come one after another, each whole in its partition and sorted; one is held at a time. Side 0 is left, 1 right, 2 both."""
 

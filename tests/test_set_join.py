@@ -49,3 +49,36 @@ def test_similarity_edges_are_both_directions_without_joins_of_words(spark, sf00
     assert "explode(tokens" not in plan and "array_intersect" not in plan
     rows = [tuple(x) for x in df.collect()]
     assert rows and len(set(rows)) == len(rows) and {(b, a, j) for a, b, j in rows} == set(rows)
+
+
+def test_minhash_pairs_ship_no_words_by_pair(spark, sf001):
+    """Before, words of both sets went to every candidate pair, and copies of a text to every salt."""
+    df = QUERIES["minhash_pairs"](spark, sf001)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_intersect" not in plan and "explode" not in plan.lower()
+
+
+def test_minhash_finds_pairs_of_brute_force_and_a_class_for_each_row(spark, monkeypatch):
+    texts = _texts(random.Random(8))
+    df = spark.createDataFrame([*enumerate(texts), (900, ""), (None, texts[0]), (901, None)], "id long, body string")
+    monkeypatch.setattr(J, "STEP", 50)
+    pairs, members = S.minhash_classes(df)
+    of = [tuple(x) for x in members.collect()]
+    first = {}
+    for i, t in enumerate(texts):
+        first.setdefault(frozenset(t.split()), i)
+    assert sorted(of, key=str) == sorted([*((i, first[frozenset(t.split())]) for i, t in enumerate(texts)), (900, 900), (None, 0), (901, 901)], key=str)
+    want = {x for x in _want(texts) if first[frozenset(texts[x[0]].split())] == x[0] and first[frozenset(texts[x[1]].split())] == x[1]}
+    got = [tuple(x) for x in pairs.collect()]
+    assert len(set(got)) == len(got) and set(got) <= want and len(got) >= 0.99 * len(want) > 50
+
+
+def test_links_of_a_band_join_what_its_pairs_join(spark):
+    """A group of near sets gives a link a set, not its pairs."""
+    r = random.Random(6)
+    base = r.sample(range(10**6), 100)
+    sets = [(k, 100, sorted({*base[: 100 - k % 7], *(10**7 + 100 * k + j for j in range(k % 7))})) for k in range(120)]
+    rows = spark.createDataFrame(sets, "no long, n int, words array<long>")
+    links = [tuple(x) for x in J.minhash_links(rows, 0.7, 128, 4).collect()]
+    joined = J.components(spark.createDataFrame(links, "u long, v long")).collect()
+    assert len(links) < 120 * 32 and {x["no"] for x in joined} == set(range(120)) and {x["c"] for x in joined} == {0}
