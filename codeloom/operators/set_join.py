@@ -4,14 +4,17 @@ Words are known by 64 bits, sets by 128. Equal sets are one class, compared once
 
 1. Words are counted in BUCKETS buckets. The rarer its bucket, the earlier a word stands in the one order of all sets; any order is right, this
    one makes short lists. Only this table (a byte a bucket) goes to every task.
-2. Sets of sizes m and n with a Jaccard of least share at least t = least (m + n) / (1 + least) words. So the first SHARED of the words that
-   they share have at least t - SHARED + 1 words from there on in both. A set's words that can be so are dealt by word; each two sets of a word that
-   meet this and fit in size are a hit, and sets with SHARED hits (with t, if that is fewer) are candidates.
+2. Sets of sizes m and n with a Jaccard of least share at least t = least (m + n) / (1 + least) words. So the first K of the words that
+   they share have at least t - K + 1 words from there on in both. Words that can be so are dealt into g groups by their hash. K words in g
+   groups make K - g pairs inside groups at least, so two sets have that many such pairs in common; with K = g + SHARED, sets that have
+   SHARED in common (t - g, if that is fewer) are candidates. g is a quarter of the least size of the larger set's octave, so a set goes to the octaves of
+   all sets that it fits. Pairs of words are in few sets, where one word is in many: the rows of pairs grow with the input, hits are few.
+   Near sets share most of their pairs; so MinHash bands (links that join near sets) come first, and only sets of different components are counted.
 3. Components of candidates are compared inside, all pairs exactly, a large one in cells of two blocks.
 
-Nothing is capped: words of many sets make many hits, compared in arrays.
+Nothing is capped: pairs of words of many sets make many hits, compared in arrays.
 
-MinHash takes the place of steps 1 and 2: rows are dealt by band, and a band gives links that join its near sets instead of their pairs.
+For MinHash pairs the bands take the place of steps 1 and 2.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from ..session import discard, ship, task_count, written
 
 #: Buckets of the words' counts; hits that make a candidate.
-BUCKETS, SHARED = 1 << 22, 8
+BUCKETS, SHARED = 1 << 22, 6
 #: A hit's weight is WHOLE over the hits that the pair needs; so WHOLE is a multiple of 1 to SHARED.
 WHOLE = 840
 #: Words and classes of a block at most; a cell has two.
@@ -86,20 +89,64 @@ def _pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.R
             yield batch.slice(at, rows)
 
 
+def _octave(n: np.ndarray) -> np.ndarray:
+    """The exponent of the greatest power of two up to n."""
+    return np.frexp(n.astype(float))[1].astype(np.int64) - 1
+
+
+def _groups(octave: np.ndarray, least: float) -> np.ndarray:
+    """Groups of an octave's words, fewer than the words that its sets must share; 0: words are taken one by one."""
+    return np.floor(min(0.25, least / 2) * np.exp2(octave)).astype(np.int64)
+
+
+def _mixed(a: np.ndarray, b: np.ndarray, octave: np.ndarray) -> np.ndarray:
+    x = a.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ octave.astype(np.uint64)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) + b.view(np.uint64)
+    x = (x ^ x >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(32)).view(np.int64)
+
+
 def _prefixes(size, least: float) -> Callable:
-    """Of batches (no, words): (word, no, n, at) of the words that can be among the first shared ones."""
+    """Of batches (no, words, c): (key, size, no, c) of pairs of words of a group that can be among the first shared ones; size holds the set's size and
+    below it the words from the later one on, no has a low bit for the set's own octave."""
+
+    def pairs(word, owner, group):
+        """Both places of each two words of an owner's group."""
+        left = np.arange(len(word))
+        for lag in range(1, len(word)):
+            left = left[: np.searchsorted(left, len(word) - lag)]
+            left = left[(owner[left] == owner[left + lag]) & (group[left] == group[left + lag])]
+            if not len(left):
+                return
+            yield left, left + lag
 
     def run(batches):
-        for batch in _pieces(batches):
+        for batch in _pieces(batches, 256):
             words, offsets = _lists(batch.column(1))
-            n = np.diff(offsets)
+            no, n = batch.column(0).to_numpy(), np.diff(offsets)
             owner = np.repeat(np.arange(len(n)), n)
             df = size.value[words & (BUCKETS - 1)]
             order = np.lexsort((words, df, owner))
-            at = np.arange(len(words)) - offsets[owner]
-            kept = (at < (n - np.ceil(least * n - 1e-9).astype(np.int64) + SHARED)[owner]) & (df[order] > 0)  # a word of one row alone makes no hit
-            which = owner[kept]
-            yield pa.record_batch([pa.array(words[order][kept]), pa.array(batch.column(0).to_numpy()[which]), pa.array(n[which].astype(np.int32)), pa.array(at[kept].astype(np.int32))], ["word", "no", "n", "at"])
+            words, df, at = words[order], df[order], np.arange(len(words)) - offsets[owner]
+            spread = (words.view(np.uint64) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(33)).astype(np.int64)
+            own, last = _octave(n), _octave(np.floor(n / least + 1e-6))
+            for up in range(int((last - own).max()) + 1 if len(n) else 0):
+                octave = own + up
+                groups = _groups(octave, least)
+                to = n - np.ceil(least * np.maximum(n, np.exp2(octave)) - 1e-9).astype(np.int64) + groups + SHARED
+                kept = np.flatnonzero((at < np.where(octave <= last, to, 0)[owner]) & (df > 0))  # a word of one row alone makes no hit
+                group = spread[kept] % np.maximum(groups, 1)[owner[kept]]
+                kept = kept[np.lexsort((words[kept], group, owner[kept]))]
+                single = groups[owner[kept]] == 0
+                one, kept = kept[single], kept[~single]
+                group = spread[kept] % np.maximum(groups, 1)[owner[kept]]
+                found = [(one, one), *((kept[x], kept[y]) for x, y in pairs(words[kept], owner[kept], group))]
+                x, y = (np.concatenate(k) for k in zip(*found))
+                which = owner[x]
+                rest = n[which] - np.maximum(at[x], at[y])
+                columns = [_mixed(words[x], words[y], octave[which]), n[which].astype(np.int64) << 32 | rest, no[which] << 1 | int(not up), batch.column(2).to_numpy()[which]]
+                columns = [c[np.argsort(which, kind="stable")] for c in columns]  # a set's rows together, as they compress better
+                yield pa.record_batch([pa.array(c) for c in columns], ["key", "size", "no", "c"])
 
     return run
 
@@ -127,18 +174,21 @@ def _by_word(find: Callable, columns: Callable) -> Callable:
 
 
 def _hits(least: float) -> Callable:
-    """Of rows (word, no, n, at) sorted by word and n: (pair, weight), pair being both numbers, the less one in the high half."""
-
-    def compared(word, no, n, at):
-        left = np.arange(len(word))
-        for lag in range(1, len(word)):
-            left = left[: np.searchsorted(left, len(word) - lag)]
-            left = left[(word[left] == word[left + lag]) & (least * n[left + lag] <= n[left] + 1e-9)]
+    """Of rows (key, size, no, c) sorted by key and size: (pair, weight) of those of different c, pair being both numbers, the less one in the
+    high half."""
+
+    def compared(key, size, no, c):
+        n, rest, no, own = size >> 32, size & ((1 << 32) - 1), no >> 1, (no & 1) == 1
+        groups = _groups(_octave(n), least)
+        left = np.arange(len(key))
+        for lag in range(1, len(key)):
+            left = left[: np.searchsorted(left, len(key) - lag)]
+            left = left[(key[left] == key[left + lag]) & (least * n[left + lag] <= n[left] + 1e-9)]
             if not len(left):
                 return
             right = left + lag
-            need = np.ceil(least / (1 + least) * (n[left] + n[right]) - 1e-9)
-            good = (np.minimum(n[left] - at[left], n[right] - at[right]) >= need - SHARED + 1) & (no[left] != no[right])
+            need = np.ceil(least / (1 + least) * (n[left] + n[right]) - 1e-9).astype(np.int64) - groups[right]
+            good = own[right] & (np.minimum(rest[left], rest[right]) >= need - SHARED + 1) & (c[left] != c[right])
             if good.any():
                 a, b = no[left[good]], no[right[good]]
                 yield pa.record_batch([pa.array(np.minimum(a, b) << 32 | np.maximum(a, b)), pa.array((WHOLE // np.clip(need[good], 1, SHARED)).astype(np.int32))], ["pair", "weight"])
@@ -147,13 +197,15 @@ def _hits(least: float) -> Callable:
 
 
 def candidates(rows: DataFrame, least: float) -> DataFrame:
-    """(u, v) of classes of rows (no, words) that may have a Jaccard of least."""
+    """(u, v) that join all classes of rows (no, words) that may have a Jaccard of least."""
     spark = rows.sparkSession
     size = spark.sparkContext.broadcast(counts(rows))
-    words = rows.select("no", "words").mapInArrow(_prefixes(size, least), "word long, no long, n int, at int")
-    dealt = words.repartition(task_count(spark), "word").sortWithinPartitions("word", "n")
+    links = written(minhash_links(rows.select("no", F.size("words").alias("n"), "words"), least), "links")
+    known = rows.select("no", "words").join(compact(components(links)), "no", "left").select("no", "words", F.coalesce("c", "no").alias("c"))
+    words = known.mapInArrow(_prefixes(size, least), "key long, size long, no long, c long")
+    dealt = words.repartition(task_count(spark), "key").sortWithinPartitions("key", "size")
     pairs = dealt.mapInArrow(_hits(least), "pair long, weight int").groupBy("pair").agg(F.sum("weight").alias("weight")).where(F.col("weight") >= WHOLE)
-    return pairs.select(F.shiftright("pair", 32).alias("u"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("v"))
+    return pairs.select(F.shiftright("pair", 32).alias("u"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("v")).union(links)
 
 
 def _bands(permutations: int, rows: int) -> Callable:
@@ -221,7 +273,7 @@ def _band_links(least: float, permutations: int) -> Callable:
     return _by_word(linked, columns)
 
 
-def minhash_links(rows: DataFrame, least: float, permutations: int, width: int) -> DataFrame:
+def minhash_links(rows: DataFrame, least: float, permutations: int = 128, width: int = 4) -> DataFrame:
     """(u, v) that join the classes of rows (no, n, words) that may have a Jaccard of least and share a band of `width` minima."""
     bands = rows.select("no", "n", "words").mapInArrow(_bands(permutations, width), "band long, no long, n int, sketch binary")
     dealt = bands.repartition(task_count(rows.sparkSession), "band").sortWithinPartitions("band", "n")
