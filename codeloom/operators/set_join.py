@@ -30,6 +30,8 @@ from ..session import discard, ship, task_count, written
 
 #: Buckets of the words' counts; hits that make a candidate.
 BUCKETS, SHARED = 1 << 22, 6
+#: Bands that join near sets before pairs of words are counted: what they miss makes hits, nothing is lost.
+LINK_BANDS = 8
 #: A hit's weight is WHOLE over the hits that the pair needs; so WHOLE is a multiple of 1 to SHARED.
 WHOLE = 840
 #: Words and classes of a block at most; a cell has two.
@@ -200,7 +202,7 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
     """(u, v) that join all classes of rows (no, words) that may have a Jaccard of least."""
     spark = rows.sparkSession
     size = spark.sparkContext.broadcast(counts(rows))
-    links = written(minhash_links(rows.select("no", F.size("words").alias("n"), "words"), least), "links")
+    links = written(minhash_links(rows.select("no", F.size("words").alias("n"), "words"), least, 128, 4, LINK_BANDS), "links")
     known = rows.select("no", "words").join(compact(components(links)), "no", "left").select("no", "words", F.coalesce("c", "no").alias("c"))
     words = known.mapInArrow(_prefixes(size, least), "key long, size long, no long, c long")
     dealt = words.repartition(task_count(spark), "key").sortWithinPartitions("key", "size")
@@ -208,11 +210,10 @@ def candidates(rows: DataFrame, least: float) -> DataFrame:
     return pairs.select(F.shiftright("pair", 32).alias("u"), F.col("pair").bitwiseAND(F.lit((1 << 32) - 1)).alias("v")).union(links)
 
 
-def _bands(permutations: int, rows: int) -> Callable:
-    """Of batches (no, n, words): a row (band, no, n, sketch) for each band of the MinHash signature; sketch holds two bits of each minimum."""
+def _bands(permutations: int, rows: int, count: int) -> Callable:
+    """Of batches (no, n, words): a row (band, no, n, sketch) for each of the first count bands of the MinHash signature; sketch holds two bits of each minimum."""
     state = np.random.default_rng(permutations)
     odd, plus = (state.integers(0, 1 << 63, permutations, dtype=np.uint64) << np.uint64(1) | np.uint64(1)), state.integers(0, 1 << 63, permutations, dtype=np.uint64)
-    count = permutations // rows
 
     def run(batches):
         for batch in _pieces(batches):
@@ -273,10 +274,10 @@ def _band_links(least: float, permutations: int) -> Callable:
     return _by_word(linked, columns)
 
 
-def minhash_links(rows: DataFrame, least: float, permutations: int = 128, width: int = 4) -> DataFrame:
-    """(u, v) that join the classes of rows (no, n, words) that may have a Jaccard of least and share a band of `width` minima."""
-    bands = rows.select("no", "n", "words").mapInArrow(_bands(permutations, width), "band long, no long, n int, sketch binary")
-    dealt = bands.repartition(task_count(rows.sparkSession), "band").sortWithinPartitions("band", "n")
+def minhash_links(rows: DataFrame, least: float, permutations: int = 128, width: int = 4, bands: int | None = None) -> DataFrame:
+    """(u, v) that join the classes of rows (no, n, words) that may have a Jaccard of least and share one of the first bands (all by default) of `width` minima."""
+    dealt = rows.select("no", "n", "words").mapInArrow(_bands(permutations, width, bands or permutations // width), "band long, no long, n int, sketch binary")
+    dealt = dealt.repartition(task_count(rows.sparkSession), "band").sortWithinPartitions("band", "n")
     return dealt.mapInArrow(_band_links(least, permutations), "u long, v long").distinct()
 
 
